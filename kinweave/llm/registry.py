@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding
+from . import decontaminate, language_id, minhash, sharding
 
 
 def queries() -> dict:
-    return {"op3_sharding": sharding.op3_sharding, "op7_language_id": language_id.op7_language_id}
+    return {
+        "op3_sharding": sharding.op3_sharding,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_minhash": minhash.op8_minhash,
+        "op9_decontamination": decontaminate.op9_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash, sharding
+from . import decontaminate, language_id, minhash, mixing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
         "op7_language_id": language_id.op7_language_id,
         "op8_minhash": minhash.op8_minhash,

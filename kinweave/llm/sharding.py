@@ -38,11 +38,12 @@ def range_of(key: Column, splitters: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def _cut(sample: DataFrame, wanted: DataFrame) -> list[int]:
+def _cut(sample: DataFrame, wanted: dict[int, int]) -> list[int]:
     """Weighted quantiles of each range's sample: RANGES splitters at most, whatever the input's size."""
     by = Window.partitionBy("range").orderBy("key")
+    pieces = F.create_map(*[F.lit(x) for r in wanted.items() for x in r])
     rows = (
-        sample.join(F.broadcast(wanted), "range")
+        sample.withColumn("pieces", pieces[F.col("range")])
         .withColumn("upto", F.sum("weight").over(by))
         .withColumn("part", F.least(F.floor(F.col("upto") * F.col("pieces") / F.sum("weight").over(Window.partitionBy("range"))), F.col("pieces") - 1))
         .where("part > 0")
@@ -60,13 +61,14 @@ def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: t
     total = keyed.agg(F.sum(size).alias("b")).first()["b"] or 0
     if not total:
         return keyed.drop("key").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    spark, splitters, part = records.sparkSession, [], total / RANGES
-    wanted = spark.createDataFrame([(0, RANGES)], "range int, pieces int")
+    splitters, part = [], total / RANGES
+    wanted = {0: RANGES}
     density = RANGES * OVERSAMPLE / total
     for _ in range(ROUNDS):
         ranged = keyed.withColumn("range", range_of(F.col("key"), splitters))
         # a record is drawn with probability size * density; a larger record is sure to be drawn and weighs as much more
-        drawn = ranged.join(F.broadcast(wanted), "range").select("range", "key", F.greatest(F.col(size) * density, F.lit(1.0)).alias("weight"), (F.pmod(F.xxhash64("key", F.lit(len(splitters))), F.lit(1 << 30)) / (1 << 30)).alias("u"), (F.col(size) * density).alias("p"))
+        among = ranged.where(F.col("range").isin(list(wanted))) if splitters else ranged
+        drawn = among.select("range", "key", F.greatest(F.col(size) * density, F.lit(1.0)).alias("weight"), (F.pmod(F.xxhash64("key", F.lit(len(splitters))), F.lit(1 << 30)) / (1 << 30)).alias("u"), (F.col(size) * density).alias("p"))
         added = _cut(drawn.where("u < p").select("range", "key", "weight"), wanted)
         before, splitters = len(splitters), sorted({*splitters, *added})
         if len(splitters) == before:
@@ -74,7 +76,7 @@ def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: t
         full = keyed.groupBy(range_of(F.col("key"), splitters).alias("range")).agg(F.sum(size).alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("b") > 2 * part) & (F.col("lo") < F.col("hi"))).orderBy(F.desc("b")).limit(RANGES).collect()
         if not full:
             break
-        wanted = spark.createDataFrame([(r["range"], int(min(RANGES, 2 * r["b"] // part))) for r in full], "range int, pieces int")
+        wanted = {r["range"]: int(min(RANGES, 2 * r["b"] // part)) for r in full}
         density *= 4
     ranged = keyed.withColumn("range", range_of(F.col("key"), splitters))
     offsets = ranged.groupBy("range").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
@@ -92,10 +94,10 @@ def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: t
     return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop("rank", "first")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of documents."""
     slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    placed = assign(slim, Scratch(docs.sparkSession, "shard"), shards)
+    placed = assign(slim, scratch or Scratch(docs.sparkSession, "shard"), shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

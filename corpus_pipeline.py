@@ -1,8 +1,94 @@
-"""Corpus pipeline over documents; filled in stage by stage."""
+"""Corpus pipeline: language ID, MinHash near-dedup, benchmark decontamination, mixing, sharding.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
+documents; the last returns the place of each kept row.
+
+- language_id drops texts without a letter (null and empty ones too) and predictions below MIN_SCORE.
+- near_dedup keeps one document, the smallest id, of each group of near copies (five-word shingles, 0.8 or more).
+- decontaminate drops documents that hold a passage of the benchmark.
+- mix repeats or leaves out whole documents, so that sources come near their target words: a document goes out as often as
+  the words that the schedule takes from it are multiples of its size, rounded.
+- shard gives each row its shard and slot by nearly equal bytes.
+
+Null ids pass the first three stages as rows of their own. Rows that are alike in every column count as one document after near_dedup.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm import decontaminate as winnow
+from kinweave.llm import language_id, minhash, mixing, sharding
+from kinweave.llm.common import Scratch, held_out, table
+
+MIN_SCORE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A stage's scratch tables; those of the stage before, whose result has been written by now, go."""
+    for old in _open:
+        if old.spark is spark:
+            old.drop()
+    _open[:] = [Scratch(spark, name)]
+    return _open[0]
+
+
+def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.where(~held_out()))
+    rows = docs.select(*COLUMNS, F.col("text").alias("scored"))
+    kept = language_id.predict(rows, model, text="scored", carry=COLUMNS)
+    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, scratch=_scratch(spark, "dedup"))
+    gone = found.where("not kept").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # rows of a kept id with different texts that are near copies of each other: the first text by CRC-32 and hash stays
+    doubled = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    doubled = _open[0].keep(doubled, "doubled")
+    if not doubled.limit(1).count():
+        return kept
+    same = kept.join(doubled, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.crc32(F.col("text").cast("binary")), "text", "lang", "source", "n_chars")).alias("r"))
+    return kept.join(doubled, "doc_id", "left_anti").unionByName(same.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    touched = winnow.contaminated_rows(docs, table(spark, sf_dir, "benchmark"), _scratch(spark, "winnow"))
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text")).join(touched, "row", "left_anti").select(*COLUMNS)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(docs, _scratch(spark, "mix"))
+    times = taken.where("size > 0").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    docs = docs.select(*COLUMNS)
+    out = docs.join(times.withColumnRenamed("doc_id", "taken_id"), docs["doc_id"].eqNullSafe(F.col("taken_id")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, scratch=_scratch(spark, "shard"))
+
+
+STAGES = [
+    ("language_id", _language_id),
+    ("near_dedup", _near_dedup),
+    ("decontaminate", _decontaminate),
+    ("mix", _mix),
+    ("shard", _shard),
+]
+
+#: Language ID, MinHash and the schedule have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written to the shared folder and read again by the next."""
+    between = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = between.keep(stage(spark, docs, sf_dir), name)
+    return docs

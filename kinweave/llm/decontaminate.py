@@ -92,6 +92,12 @@ def covered(spots: Column) -> Column:
     return F.aggregate(spots, start, step, lambda acc: acc["n"])
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """row = xxhash64(doc_id, text) of the documents that hold a window of the benchmark."""
+    docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    return hits(docs, benchmark, scratch)[0].select("row").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and row of every row of docs."""
     scratch = scratch or Scratch(docs.sparkSession, "winnow")

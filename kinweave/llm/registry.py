@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash, mixing, sharding, toxicity
+from . import decontaminate, language_id, linededup, minhash, mixing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
+        "op4_line_dedup": linededup.op4_line_dedup,
         "op7_language_id": language_id.op7_language_id,
         "op8_minhash": minhash.op8_minhash,
         "op9_decontamination": decontaminate.op9_decontamination,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, linededup, minhash, mixing, sharding, toxicity
+from . import decontaminate, language_id, linededup, minhash, mixing, secrets, sharding, surrogates, toxicity
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op7_language_id": language_id.op7_language_id,
         "op8_minhash": minhash.op8_minhash,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_pii": surrogates.op10_pii,
     }
 
 

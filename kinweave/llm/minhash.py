@@ -2,10 +2,10 @@
 
 Documents of equal shingle sets form a class that its smallest id stands for. BANDS bands of ROWS minima put
 representatives into buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8**5)**32 = 3e-6). A bucket
-doesn't emit all its pairs: its members are compared with one leader, the links found are closed into components, and
-only pairs of a bucket whose members are still in different components are compared further, with new leaders as long as
-there are many, then all of them. A pair is dropped if its signatures agree in fewer than
-SIGNATURE_FLOOR of the minima (over six standard deviations below 0.8), and linked only if the full sets confirm it.
+doesn't emit all its pairs: its members are compared with one leader, and the links found are closed into components. A pair with
+its leader is dropped if the signatures agree in fewer than SIGNATURE_FLOOR of the minima (over six standard deviations below 0.8), and linked
+only if the full sets confirm it. Documents of a bucket that are still in different components are then compared by their full
+sets, as queries against blocks of the larger component, and only links become rows.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept. A text of one word
 has that word as its only shingle. A node is a doc_id: rows that repeat an id each come out, with the id's component,
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ from .components import components
 BANDS, ROWS = 32, 5
 SIGNATURE_FLOOR = 0.6
 PERCENT = 80
-#: Bits of the filter of documents whose sets are needed; its 16 MB are all that is broadcast.
-FILTER_BITS = 1 << 27
-LEADER_ROUNDS = 12
+#: Bits of the filter of documents whose sets are needed; its 8 MB are all that is broadcast.
+FILTER_BITS = 1 << 26
+#: Members of a component or bucket that one task compares with its queries.
+BLOCK = 512
 _rng = np.random.default_rng(20240229)
 A = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint64) * 2 + 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
@@ -52,7 +54,7 @@ def shingle_sets(column: pa.Array, width: int):
             if b - a < width:  # the whole sequence is one shingle, unlike any full one
                 whole = np.uint64(b - a)
                 for h in hashes[a:b]:
-                    whole = textkit.mix(np.array([whole * np.uint64(0x100000001B3) ^ h], np.uint64))[0]
+                    whole = textkit.mix(np.array([whole], np.uint64) * np.uint64(0x100000001B3) ^ h)[0]
                 yield first + d, np.array([whole], np.uint64)
             else:
                 yield first + d, np.unique(rolled[a : b - width + 1])
@@ -134,6 +136,89 @@ def _confirm(batches, percent: int):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _links_between(queries: list, members: list, percent: int) -> np.ndarray:
+    """(query, member) places of the pairs similar enough; one sorted list of the members' shingles is searched by each query."""
+    sets = [np.frombuffer(x, np.uint64) for x in members]
+    sizes = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    found = [np.zeros((0, 2), np.int64)]
+    for i, q in enumerate(queries):
+        q = np.frombuffer(q, np.uint64)
+        lo, hi = np.searchsorted(every, q), np.searchsorted(every, q, "right")
+        runs = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        inter = np.bincount(owner[at], minlength=len(sets))
+        hit = np.flatnonzero(100 * inter >= percent * (len(q) + sizes - inter))
+        found.append(np.stack([np.full(len(hit), i), hit], 1))
+    return np.concatenate(found)
+
+
+def _rows(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _against(block: pa.Table, percent: int) -> pa.Table:
+    """A block of a component's members, and documents of other components that ask: a link of each that has one."""
+    asks = block.column("asks").combine_chunks()
+    left, right = block.filter(pc.invert(asks)), block.filter(asks)
+    members, queries = left.column("rep").to_pylist(), right.column("rep").to_pylist()
+    if not members or not queries:
+        return pa.Table.from_batches([_rows([], [])])
+    hit = _links_between(right.column("shingles").to_pylist(), left.column("shingles").to_pylist(), percent)
+    hit = hit[np.unique(hit[:, 0], return_index=True)[1]]
+    return pa.Table.from_batches([_rows([members[m] for _, m in hit], [queries[q] for q, _ in hit])])
+
+
+def _among(block: pa.Table, percent: int) -> pa.Table:
+    """Documents of a bucket that are alone in their components: the links between them, or between two blocks of them."""
+    ids, sets, side = (block.column(c).to_pylist() for c in ("rep", "shingles", "side"))
+    hit = _links_between(sets, sets, percent)
+    hit = [(a, b) for a, b in hit.tolist() if a < b and (side[a] != side[b] or side[a] == 0)]
+    return pa.Table.from_batches([_rows([ids[a] for a, _ in hit], [ids[b] for _, b in hit])])
+
+
+def _residual(held: DataFrame, part: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
+    """Links between documents that share a bucket but not yet a component.
+
+    held has bucket and rep. Documents of the smaller component are compared with all members of the larger one, in blocks of BLOCK
+    members; documents that are alone in their components with each other inside their bucket, in pairs of such blocks.
+    No pair becomes a row unless it is a link.
+    """
+    named = held.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    named = scratch.keep(named.join(mixed, "bucket", "left_semi"), "held")
+    if not named.limit(1).count():
+        return None
+    sizes = part.groupBy("component").agg(F.count("*").alias("size"))
+    present = scratch.keep(named.select("bucket", "component").distinct().join(sizes, "component", "left").select("bucket", "component", F.coalesce("size", F.lit(1)).alias("size")), "present")
+    big = present.where("size > 1").select("bucket", F.col("component").alias("large"), F.col("size").alias("large_size"))
+    smaller = (F.col("size") < F.col("large_size")) | ((F.col("size") == F.col("large_size")) & (F.col("component") > F.col("large")))
+    among = present.join(big, "bucket").where(smaller & (F.col("component") != F.col("large"))).select("component", "large").distinct()
+    among = scratch.keep(among, "among")
+    everyone = scratch.keep(part.select(F.col("node").alias("rep"), "component").unionByName(named.select("rep", "component")).distinct(), "everyone")
+    wanted = everyone.join(among.select("component").unionByName(among.select(F.col("large").alias("component"))).unionByName(present.where("size = 1").select("component")).distinct(), "component", "left_semi")
+    sets = _sets_of(wanted.select(F.col("rep").alias("doc_id")), docs, scratch, width)
+    sets = scratch.keep(wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("rep", "component", "shingles"), "held_sets")
+    block = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)))
+    large = among.select(F.col("large").alias("component")).distinct().join(sizes, "component")
+    members = sets.join(large, "component").select("component", block.alias("block"), "rep", "shingles")
+    queries = sets.join(among, "component").select("rep", "shingles", F.col("large").alias("component")).join(large, "component")
+    queries = queries.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)) - 1)).alias("block"), "rep", "shingles")
+    both = members.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
+    first = both.groupBy("component", "block").applyInArrow(lambda t: _against(t, percent), "a long, b long")
+    alone = named.join(sizes, "component", "left_anti").select("bucket", "rep")
+    counts = alone.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks"))
+    alone = alone.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # side: 0 of a block by itself, 1 and 2 the two blocks of a pair
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    alone = alone.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "rep")
+    second = alone.join(sets.select("rep", "shingles"), "rep").groupBy("bucket", "x", "y").applyInArrow(lambda t: _among(t, percent), "a long, b long")
+    return scratch.keep(first.unionByName(second).distinct(), "links")
+
+
 def _bits(ids: DataFrame) -> bytes:
     """The filter's bits as bytes: at most FILTER_BITS / 8, whatever the number of ids."""
     parts = ids.mapInArrow(_filter_parts, "part int, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("b"))
@@ -143,21 +228,25 @@ def _bits(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """doc_id and shingles (sorted hashes as bytes) of the documents named; a repeated id has several sets, any of which may link."""
+    ids = scratch.keep(ids.distinct(), "ids")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(ids))
+    sets = docs.select("doc_id", "text").mapInArrow(lambda x: _sets(x, width, bits.value), "doc_id long, shingles binary").where("shingles is not null")
+    sets = scratch.keep(sets.join(ids, "doc_id", "left_semi").distinct(), "sets")
+    bits.unpersist()
+    return sets
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of representatives those whose full sets are similar enough."""
-    context = docs.sparkSession.sparkContext
     sig = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
     near = pairs.distinct().join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     near = scratch.keep(near.mapInArrow(_agree, "a long, b long"), "near")
-    bits = context.broadcast(_bits(near.select(F.explode(F.array("a", "b")).alias("id"))))
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _sets(x, width, bits.value), "doc_id long, shingles binary").where("shingles is not null")
-    # a repeated id has several sets; any of them may link
-    sets = scratch.keep(sets.join(ids, "doc_id", "left_semi").distinct(), "sets")
+    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, scratch, width)
     joined = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
     found = scratch.keep(joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long").distinct(), "links")
     scratch.drop("sets")
-    bits.unpersist()
     return found
 
 
@@ -176,25 +265,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, scr
     full = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("n")).where("a < z")
     buckets = scratch.keep(buckets.join(full.select("bucket", "a", "n"), "bucket"), "buckets")
     links = _verified(buckets.where("rep <> a").select("a", F.col("rep").alias("b")), reps, docs, scratch, width, percent)
-    open_ = buckets.where("n > 2").select("bucket", "rep").distinct()
-    for turn in range(LEADER_ROUNDS + 1):
-        # what is left: pairs of a bucket whose members are still in different components
-        part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-        held = open_.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        held = scratch.keep(held.join(mixed, "bucket", "left_semi"), "held")
-        counts = held.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-        if not counts["p"]:
-            break
-        members = held.count()
-        if counts["p"] / 2 <= 4 * members or turn == LEADER_ROUNDS:
-            other = held.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = held.select("bucket", F.col("rep").alias("a"), "component").join(other, "bucket").where("component < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            links = links.unionByName(_verified(pairs, reps, docs, scratch, width, percent))
-            break
-        lead = held.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("l"))
-        pairs = held.join(lead, "bucket").where("component <> l.component").select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-        links = links.unionByName(_verified(pairs, reps, docs, scratch, width, percent))
+    part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    rest = _residual(buckets.where("n > 2").select("bucket", "rep"), part, docs, scratch, width, percent)
+    if rest is not None:
+        links = links.unionByName(rest)
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(member)
     part = components(edges, scratch).select(F.col("node").alias("doc_id"), "component")
     out = signed.select("doc_id", "n_shingles").join(part, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))

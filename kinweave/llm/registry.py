@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, linededup, minhash, mixing, secrets, sharding, surrogates, toxicity
+from . import decontaminate, hnsw, language_id, linededup, minhash, mixing, secrets, sharding, surrogates, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_hnsw": hnsw.op6_hnsw,
         "op7_language_id": language_id.op7_language_id,
         "op8_minhash": minhash.op8_minhash,
         "op9_decontamination": decontaminate.op9_decontamination,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL, "op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op6_hnsw": hnsw.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}

@@ -21,6 +21,8 @@ from .common import Scratch, table
 WINDOW, GRAM = 10, 5
 #: A word is a run of these: lower-case letters and digits of ASCII and all that isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same with the capitals that become small letters: counts words without lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     named = found.select("row", "wid").distinct().join(owners, "wid").select("row", F.col("item_id").cast("string").alias("item")).where("item is not null").distinct()
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = scratch.keep(n_hit.join(named, "row", "left"), "hit")
-    out = docs.select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hit, "row", "left")
+    out = docs.select("doc_id", "row", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words")).join(hit, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),

@@ -118,7 +118,7 @@ def _matrix(lists: list, place: dict):
     return rows, cols
 
 
-def _fit(texts, toxic, pairs, place, strength: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _fit(texts, toxic, pairs, place, strength: float, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Nesterov descent on log loss + ridge + strength * mean squared change of the logit under swaps."""
     n, m, k = len(texts), len(pairs), len(place)
     r, c = _matrix(texts, place)
@@ -128,8 +128,17 @@ def _fit(texts, toxic, pairs, place, strength: float, steps: int = 400) -> tuple
     per_class = np.where(y == 1, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1)))
     w, bias = np.zeros(k), 0.0
     v, vb = w.copy(), bias
-    widest = max([len(x) for x in texts] + [1])
-    rate = 1.0 / (0.25 * (min(widest, 64) + 1) + RIDGE + strength * 4 * (m > 0))
+    # the largest curvature, by power iteration on a bound of the Hessian, gives the step
+    probe, curve = np.random.default_rng(0).normal(size=k + 1), 1.0
+    for _ in range(30):
+        probe /= max(np.linalg.norm(probe), 1e-12)
+        h = 0.25 * per_class * (np.bincount(r, probe[c], n) + probe[k]) / n
+        out = np.append(np.bincount(c, h[r], k) + RIDGE * probe[:k], h.sum())
+        if m:
+            d = (np.bincount(ra, probe[ca], m) - np.bincount(rb, probe[cb], m)) * (2 * strength / m)
+            out[:k] += np.bincount(ca, d[ra], k) - np.bincount(cb, d[rb], k)
+        curve, probe = float(np.linalg.norm(out)), out
+    rate = 1 / (1.1 * curve)
     for step in range(steps):
         z = np.bincount(r, v[c], n) + vb
         g = per_class * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
@@ -137,7 +146,7 @@ def _fit(texts, toxic, pairs, place, strength: float, steps: int = 400) -> tuple
         if m:
             d = (np.bincount(ra, v[ca], m) - np.bincount(rb, v[cb], m)) * (2 * strength / m)
             gw += np.bincount(ca, d[ra], k) - np.bincount(cb, d[rb], k)
-        new, newb = v - rate * gw * 4, vb - rate * g.sum() * 4
+        new, newb = v - rate * gw, vb - rate * g.sum()
         momentum = step / (step + 3)
         v, vb = new + momentum * (new - w), newb + momentum * (newb - bias)
         w, bias = new, newb

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, similarity, variants
-from ..operators import diff, family, graph, linkage, namefix, photos, wave
+from ..operators import diff, family, graph, linkage, locale_model, namefix, photos, report, wave
 from . import fixture
 
 SINGLE, SEVERAL, SILENT = names.SINGLE, names.SEVERAL, names.SILENT
@@ -180,6 +180,19 @@ def q_wave(spark, d):
     return wave.align(src, dst, linkage.scored_pairs(src, dst), spark.createDataFrame([(0, 0)], "src_id long, dst_id long"))
 
 
+def q_relations(spark, d):
+    src, dst = _trees(spark, d)
+    mapping = _same_id(spark, d)
+    return report.relations(family.unmatched(src, mapping, "src_id"), graph.relatives(src), mapping)
+
+
+RELATIONS_SQL = """, q AS (
+  SELECT r.id, r.other, CASE r.relation WHEN 'spouse' THEN 0 WHEN 'parent' THEN 1 WHEN 'child' THEN 2 ELSE 3 END AS k, CASE r.relation WHEN 'spouse' THEN 'Spouse' WHEN 'parent' THEN 'Child' WHEN 'child' THEN 'Parent' ELSE 'Sibling' END AS relation
+  FROM rel r WHERE r.id NOT IN (SELECT id FROM dst) AND r.other IN (SELECT id FROM dst)
+), z AS (SELECT *, min(k) OVER (PARTITION BY id) AS best FROM q)
+SELECT id AS src_id, relation, other, other AS dst_id, row_number() OVER (PARTITION BY id ORDER BY k, other)::INT AS rank FROM z WHERE k < 3 OR best = 3"""
+
+
 def q_level_stats(spark, d):
     return q_wave(spark, d).groupBy("level").agg(F.count("*").alias("n_mapped"), F.count_if(F.col("found_via") == "Child").alias("n_children"))
 
@@ -204,6 +217,10 @@ def queries() -> dict:
         "child_assignment": q_assignment,
         "validate_mappings": q_validate,
         "transitive_issues": lambda s, d: family.broken_links(_same_id(s, d), graph.relatives(src(s, d)), graph.relatives(fixture.target(s, d).withColumn("mother_id", F.when(F.col("id") % 4 != 0, F.col("mother_id"))))).where("relation <> 'sibling'"),
+        "add_relations": q_relations,
+        "add_plan": lambda s, d: report.additions(q_relations(s, d), src(s, d)),
+        "mapping_bands": lambda s, d: report.bands(q_wave(s, d)).groupBy("band").agg(F.count("*").alias("n")),
+        "training_rows": lambda s, d: locale_model.training_rows(src(s, d)),
         "wave_mappings": q_wave,
         "level_stats": q_level_stats,
         "unmatched": lambda s, d: family.unmatched(src(s, d), _same_id(s, d), "src_id"),
@@ -246,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "thresholds": THRESHOLDS_SQL,
         "child_score": o(CHILD_SQL),
         "validate_mappings": o(VALIDATE_SQL),
+        "add_relations": o(REL_SQL + RELATIONS_SQL),
         "unmatched": o("SELECT id FROM src WHERE id NOT IN (SELECT id FROM dst)"),
         "field_diffs": o(FIELD_SQL),
         "photo_hamming": HAMMING_SQL,

@@ -87,6 +87,13 @@ def script(text: Column) -> Column:
     return F.when(count == 0, "Unknown").otherwise(out)
 
 
+def split_by_script(text: Column) -> Column:
+    """struct(cyrillic, latin, hebrew): the words of each script, in order; null where there are none."""
+    words = F.split(text, r"[ /|()\[\]\\-]+")
+    of = lambda k: F.nullif(F.array_join(F.filter(words, lambda w: w.rlike(SCRIPTS[k])), " "), F.lit(""))
+    return F.struct(of("Cyrillic").alias("cyrillic"), of("Latin").alias("latin"), of("Hebrew").alias("hebrew"))
+
+
 def is_ukrainian(text: Column) -> Column:
     return F.coalesce(text.rlike(SCRIPTS["Cyrillic"]) & (text.rlike("[іїєґІЇЄҐ]") | F.lower(text).rlike(UKRAINIAN_ENDINGS)), F.lit(False))
 

@@ -100,10 +100,23 @@ def test_diff_and_payload(spark):
 
 
 def test_name_fix(spark):
-    rows = spark.createDataFrame([(1, "Male", "Dr. John", "Smith Jr.", None, None, None), (2, "Female", "АННА", "Попов (урожд. Иванов)", None, None, None)], "id long, gender string, first string, last string, maiden string, suffix string, title string")
-    got = {r["id"]: r for r in namefix.fix(rows).collect()}
-    assert (got[1]["title"], got[1]["first"], got[1]["last"], got[1]["suffix"]) == ("Dr.", "John", "Smith", "Jr")
+    rows = spark.createDataFrame(
+        [(1, "Male", "Dr. John", "Smith Jr."), (2, "Female", "АННА", "Попов (урожд. Иванов)"), (3, "Male", "Robert (Bob)", "VON NEUMANN"), (4, "Male", "Иван Петрович", "Сидоров"), (5, "Unknown", None, "")],
+        "id long, gender string, first string, last string",
+    )
+    got = {r["id"]: r for r in namefix.fix(namefix.profiles(rows)).collect()}
+    assert (got[1]["title"], got[1]["first"], got[1]["last"], got[1]["suffix"], got[1]["maiden"]) == ("Dr.", "John", "Smith", "Jr", "Smith")
     assert (got[2]["first"], got[2]["last"], got[2]["maiden"]) == ("Анна", "Попова", "Иванова")
+    assert (got[3]["first"], got[3]["nickname"], got[3]["last"]) == ("Robert", "Bob", "von Neumann")
+    assert (got[4]["first"], got[4]["middle"], got[4]["last"]) == ("Иван", "Петрович", "Сидоров")
+    assert (got[5]["first"], got[5]["last"]) == (None, None)
+    changed = {(r["id"], r["field"]): (r["old_value"], r["new_value"]) for r in namefix.changes(namefix.profiles(rows)).collect()}
+    assert changed[(4, "middle")] == (None, "Петрович") and changed[(3, "last")] == ("VON NEUMANN", "von Neumann")
+
+
+def test_split_by_script(spark):
+    rows = spark.createDataFrame([("Анна-Anna (חנה)",)], "v string").select(names.split_by_script(F.col("v")).alias("s")).first()["s"]
+    assert tuple(rows) == ("Анна", "Anna", "חנה")
 
 
 def test_photo_matching(spark):

@@ -72,7 +72,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int =
         marked = mark(docs.select("row", words(F.col("text")).alias("ws")).where(F.size("ws") >= length))
         touched = marked.select("row", F.explode(F.array_distinct("m")).alias("m")).join(keys.select("m").distinct(), "m", "left_semi").select("row").distinct()
         touched = scratch.keep(touched, "touched")
-        extended = mark(docs.join(touched, "row", "left_semi").select("row", words(F.col("text")).alias("ws")).where(F.size("ws") >= length))
+        # touched documents have words enough; a filter on them would be pushed below the join and split every text
+        extended = mark(docs.join(touched, "row", "left_semi").select("row", words(F.col("text")).alias("ws")))
         spots = _spots(extended, keys, length)
         found = spots if found is None else found.unionByName(spots)
     if found is None:

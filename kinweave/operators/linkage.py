@@ -12,19 +12,30 @@ FIRST, LAST, BIRTH, GENDER, FAMILY = 25, 20, 15, 2, 25
 HARD_YEARS = 15
 
 
-def candidates(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Pairs of one normalised surname, genders that don't clash, and birth years at most HARD_YEARS apart.
+def candidates(src: DataFrame, dst: DataFrame, on: Column | None = None) -> DataFrame:
+    """Pairs of genders that don't clash and birth years at most HARD_YEARS apart; surnames don't matter. `on` is a further condition.
 
-    The year is a range condition: both sides meet in buckets of its width, so a common surname doesn't pair everyone.
+    The year is a range condition: both sides meet in buckets of its width. A maiden column is optional.
     """
     width = HARD_YEARS + 1
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "first", "last", "gender", "birth_year")]).withColumns({f"{p}_norm_first": names.normalize(F.col(f"{p}_first")), f"{p}_norm_last": names.normalize(F.col(f"{p}_last"))})
+
+    def side(df, p):
+        df = df if "maiden" in df.columns else df.withColumn("maiden", F.lit(None).cast("string"))
+        named = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "first", "last", "maiden", "gender", "birth_year")])
+        return named.withColumns({f"{p}_norm_{c}": names.normalize(F.col(f"{p}_{c}")) for c in ("first", "last", "maiden")})
+
     left = side(src, "s").withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("s_birth_year") / width) + k)))
     right = side(dst, "d").withColumn("bucket", F.floor(F.col("d_birth_year") / width))
     known = (F.col("s_gender") != "Unknown") & (F.col("d_gender") != "Unknown")
     near = F.abs(F.col("s_birth_year") - F.col("d_birth_year")) <= HARD_YEARS
-    on = (F.col("s_norm_last") == F.col("d_norm_last")) & (left["bucket"] == right["bucket"]) & near & ~(known & (F.col("s_gender") != F.col("d_gender")))
-    return left.join(right, on).drop("bucket")
+    fit = ~(known & (F.col("s_gender") != F.col("d_gender")))
+    fit = fit if on is None else fit & on
+    return left.join(right, (left["bucket"] == right["bucket"]) & near & fit).drop("bucket")
+
+
+def same_last() -> Column:
+    """The rule of the SQL that pair queries are compared with: people of one normalised surname only."""
+    return F.col("s_norm_last") == F.col("d_norm_last")
 
 
 def first_names(pairs: DataFrame) -> DataFrame:
@@ -40,6 +51,26 @@ def first_names(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("first_sim", F.when(a == b, 1.0).when(~open_, 0.95).when(inside, F.greatest("jw", F.lit(0.85))).otherwise(F.col("jw"))).drop("la", "lb", "raw", "latin", "__x", "__y", "jw")
 
 
+def last_names(pairs: DataFrame, surnames: DataFrame | None = None) -> DataFrame:
+    """Adds last_sim: equal forms 1, maiden name 0.95, dictionary (surnames: edges a, b) 0.90, else string similarity.
+
+    A missing surname gives 1 if the maiden name in its place equals the other's surname and 0.3 if it doesn't, null without one.
+    """
+    a, b, ma, mb = (F.col(c) for c in ("s_norm_last", "d_norm_last", "s_norm_maiden", "d_norm_maiden"))
+    if surnames is None:
+        pairs = pairs.withColumn("listed", F.lit(False))
+    else:
+        edges = surnames.select("a", "b").union(surnames.select("b", "a")).distinct()
+        raw, latin = (edges.select(F.col("a").alias(x), F.col("b").alias(y), F.lit(True).alias(m)) for x, y, m in (("la", "lb", "raw"), ("s_norm_last", "d_norm_last", "latin")))
+        pairs = pairs.withColumns({"la": F.lower(F.trim("s_last")), "lb": F.lower(F.trim("d_last"))}).join(raw, ["la", "lb"], "left").join(latin, ["s_norm_last", "d_norm_last"], "left")
+        pairs = pairs.withColumn("listed", F.col("raw").isNotNull() | F.col("latin").isNotNull())
+    born = F.coalesce(ma == b, F.lit(False)) | F.coalesce(mb == a, F.lit(False))
+    open_ = (a != b) & ~born & ~F.col("listed")
+    scored = similarity.with_similarity(pairs.withColumns({"__x": F.when(open_, a), "__y": F.when(open_, b)}), "__x", "__y", "jw")
+    one = F.when(born, 1.0).when((a.isNull() & ma.isNotNull() & b.isNotNull()) | (b.isNull() & mb.isNotNull() & a.isNotNull()), 0.3)
+    return scored.withColumn("last_sim", F.when(a.isNull() | b.isNull(), one).when(a == b, 1.0).when(born, 0.95).when(F.col("listed"), 0.90).otherwise(F.col("jw"))).drop("la", "lb", "raw", "latin", "listed", "__x", "__y", "jw")
+
+
 def score(first_sim: Column, last_sim: Column, birth_sim: Column, same_gender: Column, family_sim: Column | None = None) -> Column:
     """Points over the points possible; gender and family always count. A null similarity leaves its field out."""
     family_sim = F.lit(0.0) if family_sim is None else family_sim
@@ -49,16 +80,60 @@ def score(first_sim: Column, last_sim: Column, birth_sim: Column, same_gender: C
     return F.least(F.greatest(F.when((family_sim < 0.1) & (raw > 85), 85.0).otherwise(raw), F.lit(0.0)), F.lit(100.0))
 
 
-def scored_pairs(src: DataFrame, dst: DataFrame) -> DataFrame:
-    pairs = first_names(candidates(src, dst))
+def scored_pairs(src: DataFrame, dst: DataFrame, on: Column | None = None, surnames: DataFrame | None = None) -> DataFrame:
+    """src_id, dst_id and score of all candidates, or of those that `on` (over s_ and d_ columns) lets in."""
+    pairs = last_names(first_names(candidates(src, dst, on)), surnames)
     birth = dates.similarity(F.col("s_birth_year"), F.col("d_birth_year"), F.lit(0), F.lit(0))
-    last = F.when(F.lower("s_last") == F.lower("d_last"), 1.0).otherwise(1.0)
-    return pairs.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), score(F.col("first_sim"), last, birth, F.col("s_gender") == F.col("d_gender")).alias("score"))
-
-
-def best_matches(src: DataFrame, dst: DataFrame, least: float = 60.0) -> DataFrame:
+    return pairs.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), score(F.col("first_sim"), F.col("last_sim"), birth, F.col("s_gender") == F.col("d_gender")).alias("score"))
+
+
+class Comparer:
+    """The score of one pair of people in Python, with the rule of scored_pairs. A person: (first, norm_first, last, norm_last, norm_maiden, gender, birth_year)."""
+
+    def __init__(self, given: set | None = None, surnames: set | None = None):
+        self.given = set(variants.edges()) if given is None else given
+        self.surnames = surnames or set()
+        self.memo: dict[tuple, float] = {}
+
+    def alike(self, a: str, b: str) -> float:
+        if (a, b) not in self.memo:
+            self.memo[a, b] = similarity.jaro_winkler(a, b)
+        return self.memo[a, b]
+
+    def first(self, raw_a, a, raw_b, b) -> float | None:
+        if a is None or b is None:
+            return None
+        if a == b:
+            return 1.0
+        if (raw_a.lower(), raw_b.lower()) in self.given or (a, b) in self.given:
+            return 0.95
+        jw = self.alike(a, b)
+        return max(jw, 0.85) if (a in b or b in a) and jw > 0.7 else jw
+
+    def last(self, raw_a, a, born_a, raw_b, b, born_b) -> float | None:
+        born = (born_a is not None and born_a == b) or (born_b is not None and born_b == a)
+        if a is None or b is None:
+            shown = (a is None and born_a is not None and b is not None) or (b is None and born_b is not None and a is not None)
+            return 1.0 if born else 0.3 if shown else None
+        if a == b:
+            return 1.0
+        if born:
+            return 0.95
+        raw = (raw_a.lower().strip(), raw_b.lower().strip())
+        return 0.90 if {raw, raw[::-1], (a, b), (b, a)} & self.surnames else self.alike(a, b)
+
+    def __call__(self, s: tuple, d: tuple) -> float:
+        fields = [(FIRST, self.first(s[0], s[1], d[0], d[1])), (LAST, self.last(*s[2:5], *d[2:5]))]
+        if s[6] is not None and d[6] is not None:
+            gap = abs(s[6] - d[6])
+            fields.append((BIRTH, next((x for most, x in ((0, 0.85), (1, 0.8), (2, 0.6), (5, 0.4), (10, 0.2)) if gap <= most), 0.0)))
+        points = sum(w * x for w, x in fields if x is not None) + (GENDER if s[5] is not None and s[5] == d[5] else 0)
+        return min(100 * points / (sum(w for w, x in fields if x is not None) + GENDER + FAMILY), 85.0)
+
+
+def best_matches(src: DataFrame, dst: DataFrame, least: float = 60.0, on: Column | None = None) -> DataFrame:
     """The best target of each source with the score least or more; ties go to the smaller id."""
-    best = scored_pairs(src, dst).where(F.col("score") >= least).groupBy("src_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "dst_id")).alias("b"))
+    best = scored_pairs(src, dst, on).where(F.col("score") >= least).groupBy("src_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "dst_id")).alias("b"))
     return best.select("src_id", F.col("b.dst_id").alias("dst_id"), F.round(-F.col("b.s"), 6).alias("score"))
 
 

@@ -1,7 +1,7 @@
 """Tree alignment from an anchor, level by level over families.
 
-The order of visits decides who is mapped, so the walk of one anchor is sequential; everything that costs, the scores of possible pairs, is
-computed before it by joins, restricted to pairs that blocking allows. Each anchor is one group of the grouped walk.
+The order of visits decides who is mapped, so the walk of one anchor is sequential. It scores the members of two families that it
+holds against each other when it meets them, all of them and whatever their surnames are, or takes scores that are given. Each anchor is one group of the grouped walk.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..shipping import ship
+from . import linkage
 
 SPOUSE, CHILD = 50, {1: 45, 2: 50, 3: 55, 4: 55, 5: 60, 6: 60, 7: 60, 8: 60}
 
@@ -95,10 +97,9 @@ def _valid(s, d, a: Tree, b: Tree, mapped: dict) -> bool:
     return not clash and not far and d not in mapped.values()
 
 
-def walk(src: list[tuple], dst: list[tuple], scores: dict, anchors: list[tuple]) -> list[tuple]:
-    """(src_id, dst_id, score, level, found_via) in order of discovery."""
+def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> list[tuple]:
+    """(src_id, dst_id, score, level, found_via) in order of discovery; score gives the points of two ids."""
     a, b = Tree(src), Tree(dst)
-    score = lambda s, d: scores.get((s, d), 0.0)
     mapped, rows = {}, []
     for s, d in anchors:
         if s in a.person and d in b.person:
@@ -136,19 +137,39 @@ def walk(src: list[tuple], dst: list[tuple], scores: dict, anchors: list[tuple])
     return rows
 
 
-def align(src: DataFrame, dst: DataFrame, scores: DataFrame, anchors: DataFrame) -> DataFrame:
-    """src_id, dst_id, score, level and found_via. src, dst: id, gender, birth_year, father_id, mother_id; scores and anchors: src_id, dst_id (and score)."""
+def align(src: DataFrame, dst: DataFrame, scores: DataFrame | None, anchors: DataFrame) -> DataFrame:
+    """src_id, dst_id, score, level and found_via. src, dst: id, gender, birth_year, father_id, mother_id; scores and anchors: src_id, dst_id (and score).
+
+    Without scores src and dst also have first and last (and maiden), and the walk scores each pair that it asks for.
+    """
     none = lambda t: F.lit(None).cast(t)
-    person = lambda df, side: df.select(F.lit(side).alias("kind"), "id", none("long").alias("other"), "gender", F.col("birth_year").cast("double").alias("x"), F.col("father_id").cast("double").alias("f"), F.col("mother_id").cast("double").alias("m"))
-    link = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.col("src_id").alias("id"), F.col("dst_id").alias("other"), none("string").alias("gender"), value.cast("double").alias("x"), none("double").alias("f"), none("double").alias("m"))
-    rows = person(src, "src").unionByName(person(dst, "dst")).unionByName(link(scores, "score", F.col("score"))).unionByName(link(anchors, "anchor", F.lit(0)))
+    texts = ("first", "norm_first", "last", "norm_last", "norm_maiden")
+
+    def person(df, side):
+        for c in ("first", "last", "maiden"):
+            df = df if c in df.columns else df.withColumn(c, none("string"))
+        named = [F.col("first"), names.normalize(F.col("first")).alias("norm_first"), F.col("last"), names.normalize(F.col("last")).alias("norm_last"), names.normalize(F.col("maiden")).alias("norm_maiden")]
+        return df.select(F.lit(side).alias("kind"), "id", none("long").alias("other"), "gender", F.col("birth_year").cast("double").alias("x"), F.col("father_id").cast("double").alias("f"), F.col("mother_id").cast("double").alias("m"), *named)
+
+    link = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.col("src_id").alias("id"), F.col("dst_id").alias("other"), none("string").alias("gender"), value.cast("double").alias("x"), none("double").alias("f"), none("double").alias("m"), *[none("string").alias(c) for c in texts])
+    rows = person(src, "src").unionByName(person(dst, "dst")).unionByName(link(anchors, "anchor", F.lit(0)))
+    given = scores is not None
+    if given:
+        rows = rows.unionByName(link(scores, "score", F.col("score")))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         whole = lambda v: None if pd.isna(v) else int(v)
-        people = {side: [(int(r.id), r.gender, whole(r.x), whole(r.f), whole(r.m)) for r in block[block.kind == side].itertuples()] for side in ("src", "dst")}
+        text = lambda v: None if pd.isna(v) else v
+        people, named = {}, {}
+        for side in ("src", "dst"):
+            of = list(block[block.kind == side].itertuples())
+            people[side] = [(int(r.id), text(r.gender) or "Unknown", whole(r.x), whole(r.f), whole(r.m)) for r in of]
+            named[side] = {int(r.id): (*(text(getattr(r, c)) for c in texts), text(r.gender) or "Unknown", whole(r.x)) for r in of}
         known = {(int(r.id), int(r.other)): float(r.x) for r in block[block.kind == "score"].itertuples()}
+        compare = linkage.Comparer()
+        score = (lambda s, d: known.get((s, d), 0.0)) if given else (lambda s, d: compare(named["src"][s], named["dst"][d]))
         start = sorted((int(r.id), int(r.other)) for r in block[block.kind == "anchor"].itertuples())
-        return pd.DataFrame(walk(people["src"], people["dst"], known, start), columns=["src_id", "dst_id", "score", "level", "found_via"])
+        return pd.DataFrame(walk(people["src"], people["dst"], score, start), columns=["src_id", "dst_id", "score", "level", "found_via"])
 
     ship(src.sparkSession)
     return rows.withColumn("walk", F.lit(0)).groupBy("walk").applyInPandas(run, "src_id long, dst_id long, score int, level int, found_via string")

@@ -76,11 +76,11 @@ g AS (
 
 
 def q_pair_scores(spark, d):
-    return linkage.scored_pairs(*_trees(spark, d)).groupBy("src_id").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
+    return linkage.scored_pairs(*_trees(spark, d), on=linkage.same_last()).groupBy("src_id").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
 
 
 def q_exclusivity(spark, d):
-    return linkage.exclusivity(linkage.scored_pairs(*_trees(spark, d)).where("score >= 50")).where("exclusivity > 0")
+    return linkage.exclusivity(linkage.scored_pairs(*_trees(spark, d), on=linkage.same_last()).where("score >= 50")).where("exclusivity > 0")
 
 
 def q_bfs(spark, d):
@@ -94,7 +94,7 @@ def q_structure(spark, d):
 
 def q_assignment(spark, d):
     src, dst = _trees(spark, d)
-    pairs = linkage.scored_pairs(src, dst).withColumn("family", F.floor(F.col("src_id") / 7)).where(F.floor(F.col("dst_id") / 7) == F.col("family"))
+    pairs = linkage.scored_pairs(src, dst, on=F.floor(F.col("s_id") / 7) == F.floor(F.col("d_id") / 7)).withColumn("family", F.floor(F.col("src_id") / 7))
     return family.assign(pairs).select("family", "src_id", "dst_id", F.round("score", 6).alias("score"))
 
 
@@ -177,7 +177,7 @@ HAMMING_SQL = "WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda
 
 def q_wave(spark, d):
     src, dst = _trees(spark, d)
-    return wave.align(src, dst, linkage.scored_pairs(src, dst), spark.createDataFrame([(0, 0)], "src_id long, dst_id long"))
+    return wave.align(src, dst, None, spark.createDataFrame([(0, 0)], "src_id long, dst_id long"))
 
 
 def q_relations(spark, d):
@@ -200,7 +200,7 @@ def q_level_stats(spark, d):
 def queries() -> dict:
     src = fixture.source
     return {
-        "link_best_match": lambda s, d: linkage.best_matches(*_trees(s, d)),
+        "link_best_match": lambda s, d: linkage.best_matches(*_trees(s, d), on=linkage.same_last()),
         "pair_scores": q_pair_scores,
         "exclusivity": q_exclusivity,
         "persons_fixture": lambda s, d: fixture.persons(s, d),

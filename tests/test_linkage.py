@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import dates, names, similarity, variants
-from kinweave.operators import diff, family, graph, namefix, photos, wave
+from kinweave.operators import diff, family, graph, linkage, namefix, photos, wave
 from kinweave.sources import gedcom
 
 
@@ -135,3 +135,33 @@ def test_gedcom(spark, tmp_path):
     assert [r["value"] for r in lines.where("path = 'INDI.NOTE'").collect()] == ["one\nlost line"]
     kid = gedcom.parents(gedcom.families(lines)).first()
     assert (kid["id"], kid["father_id"], kid["mother_id"]) == ("@I3@", "@I1@", "@I2@")
+
+
+SCHEMA = "id long, first string, last string, maiden string, gender string, birth_year int"
+LADDER = [
+    (1, "Anna", "Petrova", None, "Female", 1900), (2, "Anna", "Petrov", None, "Female", 1900), (3, "Anna", "Smith", "Petrova", "Female", 1901), (4, "Anna", None, "Petrova", "Female", 1900),
+    (5, "Anna", None, None, "Female", 1900), (6, "Ivan", "Чайковский", None, "Male", 1905), (7, "Ann", "Kowalska", "Smith", "Unknown", 1912), (8, None, "-", "Smith", "Female", 1909),
+]
+TO = [(1, "Anna", "Petrova", None, "Female", 1900), (2, "Иван", "Chaikovskiy", None, "Male", 1905), (3, "Hanna", "Smit", "Kovalska", "Female", 1910)]
+
+
+def test_surnames_are_scored(spark):
+    src, dst = spark.createDataFrame(LADDER, SCHEMA), spark.createDataFrame(TO, SCHEMA)
+    surnames = spark.createDataFrame([("kowalska", "smit")], "a string, b string")
+    sims = {(r["s_id"], r["d_id"]): r["last_sim"] for r in linkage.last_names(linkage.candidates(src, dst), surnames).collect()}
+    got = [sims[k] for k in [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 3)]]
+    assert got[0] == 1.0 and got[2:5] == [0.95, 1.0, None] and got[6] == 0.90
+    assert got[1] == similarity.jaro_winkler("petrov", "petrova") and got[5] == similarity.jaro_winkler("chaykovskiy", "chaikovskiy") and sims[4, 3] == 0.3
+    # the surname that differs in a letter is found, and the Python rule of the walk is the rule of the joins
+    best = {r["src_id"]: r["dst_id"] for r in linkage.best_matches(src, dst, 50).collect()}
+    assert best[6] == 2 and best[2] == 1
+    rows = linkage.scored_pairs(src, dst).collect()
+    normal = lambda df: {r["id"]: (r["first"], r["nf"], r["last"], r["nl"], r["nm"], r["gender"], r["birth_year"]) for r in df.select("*", *[names.normalize(F.col(c)).alias(n) for c, n in (("first", "nf"), ("last", "nl"), ("maiden", "nm"))]).collect()}
+    a, b, compare = normal(src), normal(dst), linkage.Comparer()
+    assert len(rows) >= 14 and all(r["score"] == pytest.approx(compare(a[r["src_id"]], b[r["dst_id"]])) for r in rows)
+
+
+def test_walk_scores_families_whatever_the_surname(spark, people):
+    named = people.withColumns({"first": F.concat(F.lit("Name"), F.col("id").cast("string")), "last": F.lit("Чайковский")})
+    got = {r["src_id"]: r["dst_id"] for r in wave.align(named, named.withColumn("last", F.lit("Chaikovskiy")), None, spark.createDataFrame([(0, 0)], "src_id long, dst_id long")).collect()}
+    assert got == {i: i for i in range(7) if i != 4}

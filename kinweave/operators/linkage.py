@@ -13,24 +13,26 @@ HARD_YEARS = 15
 
 
 def candidates(src: DataFrame, dst: DataFrame, on: Column | None = None) -> DataFrame:
-    """Pairs of genders that don't clash and birth years at most HARD_YEARS apart; surnames don't matter. `on` is a further condition.
+    """Pairs of genders that don't clash and birth years that aren't known to be more than HARD_YEARS apart; surnames don't matter. `on` is a further condition.
 
-    The year is a range condition: both sides meet in buckets of its width. A maiden column is optional.
+    The year is a range condition: people with known years meet in buckets of its width, and those without meet all of the other side.
+    A null gender is unknown. A maiden column is optional.
     """
     width = HARD_YEARS + 1
 
     def side(df, p):
         df = df if "maiden" in df.columns else df.withColumn("maiden", F.lit(None).cast("string"))
         named = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "first", "last", "maiden", "gender", "birth_year")])
+        named = named.withColumn(f"{p}_gender", F.coalesce(f"{p}_gender", F.lit("Unknown")))
         return named.withColumns({f"{p}_norm_{c}": names.normalize(F.col(f"{p}_{c}")) for c in ("first", "last", "maiden")})
 
-    left = side(src, "s").withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("s_birth_year") / width) + k)))
-    right = side(dst, "d").withColumn("bucket", F.floor(F.col("d_birth_year") / width))
+    left, right, s_year, d_year = side(src, "s"), side(dst, "d"), F.col("s_birth_year"), F.col("d_birth_year")
     known = (F.col("s_gender") != "Unknown") & (F.col("d_gender") != "Unknown")
-    near = F.abs(F.col("s_birth_year") - F.col("d_birth_year")) <= HARD_YEARS
     fit = ~(known & (F.col("s_gender") != F.col("d_gender")))
     fit = fit if on is None else fit & on
-    return left.join(right, (left["bucket"] == right["bucket"]) & near & fit).drop("bucket")
+    spread = left.where(s_year.isNotNull()).withColumn("s_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(s_year / width) + k)))
+    dated = spread.join(right.withColumn("d_bucket", F.floor(d_year / width)), (F.col("s_bucket") == F.col("d_bucket")) & (F.abs(s_year - d_year) <= HARD_YEARS) & fit).drop("s_bucket", "d_bucket")
+    return dated.unionByName(left.where(s_year.isNull()).join(right, fit)).unionByName(left.where(s_year.isNotNull()).join(right.where(d_year.isNull()), fit))
 
 
 def same_last() -> Column:
@@ -83,7 +85,7 @@ def score(first_sim: Column, last_sim: Column, birth_sim: Column, same_gender: C
 def scored_pairs(src: DataFrame, dst: DataFrame, on: Column | None = None, surnames: DataFrame | None = None) -> DataFrame:
     """src_id, dst_id and score of all candidates, or of those that `on` (over s_ and d_ columns) lets in."""
     pairs = last_names(first_names(candidates(src, dst, on)), surnames)
-    birth = dates.similarity(F.col("s_birth_year"), F.col("d_birth_year"), F.lit(0), F.lit(0))
+    birth = F.when(F.col("s_birth_year").isNotNull() & F.col("d_birth_year").isNotNull(), dates.similarity(F.col("s_birth_year"), F.col("d_birth_year"), F.lit(0), F.lit(0)))
     return pairs.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), score(F.col("first_sim"), F.col("last_sim"), birth, F.col("s_gender") == F.col("d_gender")).alias("score"))
 
 

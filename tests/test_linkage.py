@@ -165,3 +165,14 @@ def test_walk_scores_families_whatever_the_surname(spark, people):
     named = people.withColumns({"first": F.concat(F.lit("Name"), F.col("id").cast("string")), "last": F.lit("Чайковский")})
     got = {r["src_id"]: r["dst_id"] for r in wave.align(named, named.withColumn("last", F.lit("Chaikovskiy")), None, spark.createDataFrame([(0, 0)], "src_id long, dst_id long")).collect()}
     assert got == {i: i for i in range(7) if i != 4}
+
+
+def test_people_without_year_surname_or_gender_are_compared(spark):
+    src = spark.createDataFrame([(1, "Anna", "Petrova", None, "Female", None), (2, "Ivan", None, None, "Male", 1900), (3, "Olga", "Orlova", None, None, 1950)], SCHEMA)
+    dst = spark.createDataFrame([(1, "Anna", "Petrova", None, None, 1900), (2, "Ivan", "Petrov", None, "Male", None), (3, "Olga", "Orlova", None, "Female", 1951), (4, "Anna", "Petrova", None, "Female", 1990)], SCHEMA)
+    got = {(r["src_id"], r["dst_id"]): r["score"] for r in linkage.scored_pairs(src, dst).collect()}
+    # person 1 has no year and meets all but the man, a null gender meets both
+    assert set(got) == {(1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (3, 2), (3, 3)}
+    # null fields are left out: first and last of 72 points; first and gender of 52; first, last and birth of 87
+    assert got[1, 1] == pytest.approx(100 * 45 / 72) and got[2, 2] == pytest.approx(100 * 27 / 52) and got[3, 3] == pytest.approx(100 * (45 + 12) / 87)
+    assert {r["src_id"]: r["dst_id"] for r in linkage.best_matches(src, dst, 50).collect()} == {1: 4, 2: 2, 3: 3}

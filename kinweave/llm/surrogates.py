@@ -4,7 +4,7 @@ Kinds: e-mail, IPv4, phone, card, social security number, and names (a known giv
 canonical form (letter case and separators left out) and its surrogate follows from a keyed hash of kind and canonical form, so that
 mentions of one entity stay one entity in all documents, and is written in the form of each mention. Letters become letters of the same script and
 case, digits digits; a card keeps its first digit and a valid check digit, a phone number its country code. Given names
-become names of the same gender and script, surnames are made of syllables of their script; each part is keyed by itself, so relatives
+become names of the same gender and script by a keyed permutation of each list in which no name stays, surnames are made of syllables of their script; each part is keyed by itself, so relatives
 still share a surname.
 
 Collisions: of canonical forms that got one surrogate the smallest keeps it, and the others and those whose surrogate
@@ -16,6 +16,8 @@ the kind listed first. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,16 @@ def _pick(values: tuple, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))) + 1)
 
 
+def given_names(key: str) -> dict[str, str]:
+    """Each given name's surrogate: the next of its list in an order that the key decides, so all differ and none is itself."""
+    out = {}
+    for genders in GIVEN.values():
+        for names in genders.values():
+            order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|given|{n}".encode()).hexdigest())
+            out |= dict(zip(order, order[1:] + order[:1], strict=True))
+    return out
+
+
 def replacement(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """Surrogate of a canonical form. `given:` and `family:` are parts of a name."""
     stream = _stream(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")))
@@ -94,10 +106,7 @@ def replacement(kind: Column, form: Column, key: str, attempt: Column) -> Column
     phone = F.concat(F.substr(form, F.lit(1), F.greatest(F.length(form) - 10, F.lit(0))), _alike(F.substr(form, F.greatest(F.length(form) - 9, F.lit(1))), stream))
     cyrillic = form.rlike("[\\x{0400}-\\x{04FF}]")
     family = lambda script: F.initcap(F.concat(*[_pick(SYLLABLES[script], _number(stream, F.lit(i))) for i in range(5)]))
-    given = F.lit(None).cast("string")
-    for genders in GIVEN.values():
-        for names in genders.values():
-            given = F.when(form.isin(*names), _pick(names, _number(stream, F.lit(9)))).otherwise(given)
+    given = F.element_at(F.create_map(*[F.lit(n) for pair in given_names(key).items() for n in pair]), form)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _alike(form, stream))
         .when(kind == "given", given).otherwise(F.when(cyrillic, family("Cyrillic")).otherwise(family("Latin")))
@@ -105,7 +114,7 @@ def replacement(kind: Column, form: Column, key: str, attempt: Column) -> Column
 
 
 def surrogates(forms: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """forms has distinct kind and form; adds surrogate, distinct within a kind (given names aside: their lists are short)."""
+    """forms has distinct kind and form; adds surrogate, distinct within a kind (given names by permutation, the others by rounds)."""
     forms = scratch.keep(forms.withColumn("attempt", F.lit(0)), "forms")
     done, pending = None, forms
     given = pending.where("kind = 'given'")

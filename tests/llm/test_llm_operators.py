@@ -363,6 +363,17 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["surrogate"] for r in got}) == len(got) == 3000 and not {r["surrogate"] for r in got} & {r["form"] for r in got}
 
 
+def test_whole_names_stay_distinct(spark):
+    names = [n for genders in surrogates.GIVEN.values() for of in genders.values() for n in of]
+    people = [f"{n} {last}" for n in names for last in (("Smith", "Jones") if n.isascii() or n == "Jürgen" else ("Ванин", "Зимин"))]
+    got = [r["text"] for r in surrogates.replace_pii(make(spark, people)).collect()]
+    assert len(set(got)) == len(people) == 88
+    for key in ("a", "b", surrogates.KEY):
+        swap = surrogates.given_names(key)
+        assert set(swap) == set(swap.values()) == set(names) and all(a != b for a, b in swap.items())
+        assert all({swap[n] for n in of} == set(of) for genders in surrogates.GIVEN.values() for of in genders.values())
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
 

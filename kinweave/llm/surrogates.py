@@ -40,7 +40,7 @@ KINDS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap test that every text with an entity passes.
-HINT = rf"@|[0-9]{{3}}|(?:[0-9]\.[0-9]{{1,3}}\.[0-9])|(?:{_NAMES}) "
+HINT = rf"@|[0-9]{{3}}|[+][0-9]|(?:[0-9]\.[0-9]{{1,3}}\.[0-9])|(?:{_NAMES}) "
 KEY = "change-this-key"
 ATTEMPTS = 24
 

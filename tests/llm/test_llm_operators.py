@@ -374,6 +374,15 @@ def test_whole_names_stay_distinct(spark):
         assert all({swap[n] for n in of} == set(of) for genders in surrogates.GIVEN.values() for of in genders.values())
 
 
+def test_every_kind_passes_the_hint(spark):
+    alone = {"email": "a@b.co", "ssn": "123-45-6789", "ip": "1.2.3.4", "card": "4041 8949 7460 8795", "phone": "+49 30 12 34 56", "name": "Mary Smith"}
+    more = ["+33 12-34-56-78", "+1 (98) 12 34", "(988) 555-2485", "Мария Ванина"]
+    assert set(alone) == set(surrogates.KINDS)
+    texts = [f"so {x} it is" for x in [*alone.values(), *more]]
+    got = {r["doc_id"]: r for r in surrogates.replace_pii(make(spark, texts)).collect()}
+    assert all(got[i]["n_entities"] == 1 and x not in got[i]["text"] for i, x in enumerate([*alone.values(), *more]))
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ Defined cases: a null, empty or blank text scores as the intercept says. Without
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -28,7 +29,7 @@ PREFIXES = (3, 4, 5, 6)
 FEATURES = 4096
 #: Expected number of labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
-#: Counterfactual pairs that a training text adds at most; the others are drawn evenly from it.
+#: Counterfactual pairs that a training text adds at most; of more, those with the smallest hashes of sentence and swap.
 PAIRS_PER_TEXT = 16
 LAMBDA, RIDGE = 5.0, 1e-3
 #: Groups of identity terms that can stand for each other.
@@ -87,8 +88,8 @@ def counterfactuals(text: str) -> list[tuple[str, str]]:
         sentence = found.group()
         for m in _TERM.finditer(sentence):
             pairs += [(sentence, sentence[: m.start()] + other + sentence[m.end() :]) for other in _SWAPS[m.group().lower()]]
-    step = max(1, -(-len(pairs) // PAIRS_PER_TEXT))
-    return pairs[::step]
+    # a stride would follow the order of the swaps and always take the same one
+    return pairs if len(pairs) <= PAIRS_PER_TEXT else sorted(pairs, key=lambda p: hashlib.md5("\0".join(p).encode("utf-8", "replace")).digest())[:PAIRS_PER_TEXT]
 
 
 def _reduced(batches, chosen: np.ndarray):

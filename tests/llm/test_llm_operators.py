@@ -416,3 +416,10 @@ def test_hnsw_graph_recall_before_widening():
     found, _ = graph.search(x.astype(np.float32)[:200], 64)
     true = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true, strict=True)]) > 0.9
+
+
+def test_long_texts_train_all_swaps():
+    text = " ".join(f"Sentence {i} names the men here." for i in range(16))
+    pairs = toxicity.counterfactuals(text)
+    assert len(pairs) == toxicity.PAIRS_PER_TEXT and pairs == toxicity.counterfactuals(text)
+    assert {w for _, other in pairs for w in ("women", "girls", "boys") if f" {w} " in other} == {"women", "girls", "boys"}

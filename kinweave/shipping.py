@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,5 +22,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for path in sorted(root.rglob("*.py")):
                 z.write(path, path.relative_to(root.parent))
         context.addPyFile(out.name)
+        atexit.register(lambda: os.path.exists(out.name) and os.unlink(out.name))
         _shipped[:] = [context.applicationId]
     return spark

@@ -1,14 +1,14 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, components.
 
-Documents of equal shingle sets form a class that its smallest id stands for. BANDS bands of ROWS minima put
-representatives into buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8**5)**32 = 3e-6). A bucket
+Texts of equal shingle sets form a class; classes are the nodes that are compared, and each is named by its smallest doc_id at the end. BANDS
+bands of ROWS minima put classes into buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8**5)**32 = 3e-6). A bucket
 doesn't emit all its pairs: its members are compared with one leader, and the links found are closed into components. A pair with
 its leader is dropped if the signatures agree in fewer than SIGNATURE_FLOOR of the minima (over six standard deviations below 0.8), and linked
-only if the full sets confirm it. Documents of a bucket that are still in different components are then compared by their full
-sets, as queries against blocks of the larger component, and only links become rows.
+only if the full sets confirm it. Members of a bucket that are still in different components are then compared by their full
+sets, in blocks of at most about BLOCK members and QUERIES queries, and only links become rows.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept. A text of one word
-has that word as its only shingle. A node is a doc_id: rows that repeat an id each come out, with the id's component,
+has that word as its only shingle. A result's node is a doc_id: rows that repeat an id each come out, with the id's component,
 and a link of any of their texts counts. A null id is linked with nothing, its component is null and it is kept. Extra columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import Scratch, ship, table
+from .common import Scratch, join_one, ship, table
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -31,6 +31,8 @@ PERCENT = 80
 FILTER_BITS = 1 << 26
 #: Members of a component or bucket that one task compares with its queries.
 BLOCK = 512
+#: Documents that ask one block in one task.
+QUERIES = 4096
 _rng = np.random.default_rng(20240229)
 A = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint64) * 2 + 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
@@ -75,8 +77,7 @@ def _sign(batches, width: int):
         bands = np.zeros((batch.num_rows, BANDS), np.uint64)
         for row, s in shingle_sets(batch.column(1), width):
             n[row] = len(s)
-            k1[row] = textkit.mix(s).sum(dtype=np.uint64).astype(np.int64)
-            k2[row] = textkit.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)
+            k1[row], k2[row] = _keys(s)
             low = minima(s)
             sigs[row] = ((low * np.uint32(2654435769)) >> np.uint32(16)).astype(np.uint16).tobytes()
             key = np.arange(BANDS, dtype=np.uint64)
@@ -94,18 +95,26 @@ def _agree(batches):
         yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= SIGNATURE_FLOOR))
 
 
+def _keys(s: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two sums of mixed hashes: with the size they name a set."""
+    return textkit.mix(s).sum(dtype=np.uint64).astype(np.int64), textkit.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)
+
+
 def _sets(batches, width: int, bits: bytes):
+    """doc_id, n_shingles, k1, k2 and shingles of the texts whose id the filter holds."""
     flags = np.frombuffer(bits, np.uint8)
     for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy()
-        at = _spot(ids)
+        at = _spot(batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy())
         some = batch.filter(pa.array((flags[at >> 3] >> (at & 7)) & 1 == 1))
+        n, k1, k2 = np.zeros((3, some.num_rows), np.int64)
         sets: list = [None] * some.num_rows
         for row, s in shingle_sets(some.column(1), width):
-            sets[row] = s.tobytes()
+            sets[row], n[row] = s.tobytes(), len(s)
+            k1[row], k2[row] = _keys(s)
         step = 512
         for i in range(0, some.num_rows, step):
-            yield pa.RecordBatch.from_arrays([some.column(0).slice(i, step), pa.array(sets[i : i + step], pa.binary())], ["doc_id", "shingles"])
+            part = slice(i, i + step)
+            yield pa.RecordBatch.from_arrays([some.column(0).slice(i, step), pa.array(n[part]), pa.array(k1[part]), pa.array(k2[part]), pa.array(sets[part], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "shingles"])
 
 
 def _spot(ids: np.ndarray) -> np.ndarray:
@@ -179,39 +188,45 @@ def _among(block: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_batches([_rows([ids[a] for a, _ in hit], [ids[b] for _, b in hit])])
 
 
-def _residual(held: DataFrame, part: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
-    """Links between documents that share a bucket but not yet a component.
+def _residual(held: DataFrame, part: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame | None:
+    """Links between classes that share a bucket but not yet a component.
 
-    held has bucket and rep. Documents of the smaller component are compared with all members of the larger one, in blocks of BLOCK
-    members; documents that are alone in their components with each other inside their bucket, in pairs of such blocks.
-    No pair becomes a row unless it is a link.
+    held has bucket and rep. Members of the smaller component are compared with all of the larger one, a block of BLOCK
+    members with a block of QUERIES of those that ask; classes that are alone in their components with each other inside their bucket, in pairs of
+    blocks. No pair becomes a row unless it is a link.
     """
     named = held.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    named = scratch.keep(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    named = scratch.keep(named.join(mixed, "bucket", "left_semi"), "held")
+    named = scratch.keep(join_one(named, mixed, "bucket", scratch, "left_semi"), "held")
     if not named.limit(1).count():
         return None
-    sizes = part.groupBy("component").agg(F.count("*").alias("size"))
-    present = scratch.keep(named.select("bucket", "component").distinct().join(sizes, "component", "left").select("bucket", "component", F.coalesce("size", F.lit(1)).alias("size")), "present")
+    sizes = scratch.keep(part.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    present = scratch.keep(named.select("bucket", "component").distinct(), "pairs")
+    present = scratch.keep(join_one(present, sizes, "component", scratch, "left").select("bucket", "component", F.coalesce("size", F.lit(1)).alias("size")), "present")
     big = present.where("size > 1").select("bucket", F.col("component").alias("large"), F.col("size").alias("large_size"))
     smaller = (F.col("size") < F.col("large_size")) | ((F.col("size") == F.col("large_size")) & (F.col("component") > F.col("large")))
-    among = present.join(big, "bucket").where(smaller & (F.col("component") != F.col("large"))).select("component", "large").distinct()
+    among = present.join(big, "bucket").where(smaller & (F.col("component") != F.col("large"))).select("component", "size", "large").distinct()
     among = scratch.keep(among, "among")
     everyone = scratch.keep(part.select(F.col("node").alias("rep"), "component").unionByName(named.select("rep", "component")).distinct(), "everyone")
-    wanted = everyone.join(among.select("component").unionByName(among.select(F.col("large").alias("component"))).unionByName(present.where("size = 1").select("component")).distinct(), "component", "left_semi")
-    sets = _sets_of(wanted.select(F.col("rep").alias("doc_id")), docs, scratch, width)
-    sets = scratch.keep(wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("rep", "component", "shingles"), "held_sets")
-    block = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)))
-    large = among.select(F.col("large").alias("component")).distinct().join(sizes, "component")
-    members = sets.join(large, "component").select("component", block.alias("block"), "rep", "shingles")
-    queries = sets.join(among, "component").select("rep", "shingles", F.col("large").alias("component")).join(large, "component")
-    queries = queries.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)) - 1)).alias("block"), "rep", "shingles")
+    needed = among.select("component").unionByName(among.select(F.col("large").alias("component"))).unionByName(present.where("size = 1").select("component")).distinct()
+    wanted = scratch.keep(join_one(everyone, needed, "component", scratch, "left_semi"), "wanted")
+    sets = _sets_of(wanted.select(F.col("rep").alias("node")), classes, docs, scratch, width)
+    sets = scratch.keep(wanted.join(sets.withColumnRenamed("node", "rep"), "rep").select("rep", "component", "shingles"), "held_sets")
+    blocks = lambda n, most: F.greatest(F.ceil(n / most), F.lit(1)).cast("long")
+    asked = among.groupBy(F.col("large").alias("component")).agg(F.sum("size").alias("asks")).join(sizes, "component")
+    asked = scratch.keep(asked.select("component", blocks(F.col("size"), BLOCK).alias("blocks"), blocks(F.col("asks"), QUERIES).alias("turns")), "asked")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = join_one(sets, asked, "component", scratch).select("component", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), every("turns").alias("turn"), "rep", "shingles")
+    # a hot component asks only larger ones, of which there are as few
+    asking = among.select("component", "large").join(asked.withColumnRenamed("component", "large"), "large")
+    queries = join_one(sets, asking, "component", scratch).withColumn("turn", F.pmod(F.xxhash64("rep"), "turns")).select(F.col("large").alias("component"), every("blocks").alias("block"), "turn", "rep", "shingles")
     both = members.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
-    first = both.groupBy("component", "block").applyInArrow(lambda t: _against(t, percent), "a long, b long")
-    alone = named.join(sizes, "component", "left_anti").select("bucket", "rep")
+    first = both.groupBy("component", "block", "turn").applyInArrow(lambda t: _against(t, percent), "a long, b long")
+    alone = scratch.keep(join_one(named, sizes, "component", scratch, "left_anti").select("bucket", "rep"), "alone")
     counts = alone.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks"))
-    alone = alone.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    alone = join_one(alone, counts, "bucket", scratch).withColumn("own", own).withColumn("other", every("blocks"))
     # side: 0 of a block by itself, 1 and 2 the two blocks of a pair
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     alone = alone.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "rep")
@@ -228,24 +243,27 @@ def _bits(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """doc_id and shingles (sorted hashes as bytes) of the documents named; a repeated id has several sets, any of which may link."""
-    ids = scratch.keep(ids.distinct(), "ids")
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(ids))
-    sets = docs.select("doc_id", "text").mapInArrow(lambda x: _sets(x, width, bits.value), "doc_id long, shingles binary").where("shingles is not null")
-    sets = scratch.keep(sets.join(ids, "doc_id", "left_semi").distinct(), "sets")
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """node and shingles (sorted hashes as bytes) of the classes named."""
+    keys = ["doc_id", "n_shingles", "k1", "k2"]
+    named = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), *keys[1:])
+    named = scratch.keep(named, "ids")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(named.select("doc_id")))
+    sets = docs.select("doc_id", "text").mapInArrow(lambda x: _sets(x, width, bits.value), "doc_id long, n_shingles long, k1 long, k2 long, shingles binary").where("shingles is not null")
+    sets = scratch.keep(sets.join(named, keys).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
     bits.unpersist()
     return sets
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of representatives those whose full sets are similar enough."""
-    sig = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    near = pairs.distinct().join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose full sets are similar enough; a leads many pairs."""
+    named = lambda rows, column: (rows.select(F.col("node").alias("a"), F.col(column).alias("sa")), rows.select(F.col("node").alias("b"), F.col(column).alias("sb")))
+    a, b = named(classes, "sig")
+    near = join_one(scratch.keep(pairs.distinct(), "leads"), a, "a", scratch).join(b, "b").select("a", "b", "sa", "sb")
     near = scratch.keep(near.mapInArrow(_agree, "a long, b long"), "near")
-    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, scratch, width)
-    joined = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
-    found = scratch.keep(joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long").distinct(), "links")
+    a, b = named(_sets_of(near.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, scratch, width), "shingles")
+    joined = join_one(near, a, "a", scratch).join(b, "b").select("a", "b", "sa", "sb")
+    found = scratch.keep(joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long"), "links")
     scratch.drop("sets")
     return found
 
@@ -256,20 +274,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, scr
     scratch = scratch or Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(docs.mapInArrow(lambda b: _sign(b, width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
+    keys = ["k1", "k2", "n_shingles"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    member = usable.select("k1", "k2", "n_shingles", "doc_id").distinct().join(classes.where("size > 1"), ["k1", "k2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    chosen = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles")
-    reps = scratch.keep(usable.join(chosen, ["doc_id", "k1", "k2", "n_shingles"], "left_semi").select("doc_id", "bands", "sig"), "reps")
-    buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
+    # rows of a class have one set, so their bands and signatures are alike; written once, the nodes' numbers stay
+    classes = usable.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select(F.col("node").alias("rep"), F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("n")).where("a < z")
-    buckets = scratch.keep(buckets.join(full.select("bucket", "a", "n"), "bucket"), "buckets")
-    links = _verified(buckets.where("rep <> a").select("a", F.col("rep").alias("b")), reps, docs, scratch, width, percent)
-    part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    rest = _residual(buckets.where("n > 2").select("bucket", "rep"), part, docs, scratch, width, percent)
+    full = scratch.keep(full.select("bucket", "a", "n", F.col("n").alias("rows")), "full")
+    buckets = scratch.keep(join_one(buckets, full, "bucket", scratch, counted="rows"), "buckets")
+    links = _verified(buckets.where("rep <> a").select("a", F.col("rep").alias("b")), classes, docs, scratch, width, percent)
+    part = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "part")
+    rest = _residual(buckets.where("n > 2").select("bucket", "rep"), part, classes, docs, scratch, width, percent)
     if rest is not None:
-        links = links.unionByName(rest)
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(member)
+        links = scratch.keep(links.unionByName(rest), "links")
+    # from nodes to ids: the smallest id of a class stands for it, and its other ids hang on it
+    member = join_one(scratch.keep(usable.select(*keys, "doc_id").distinct().withColumn("k", F.struct(*keys)).select("k", "doc_id"), "members"), classes.where("size > 1").select(F.struct(*keys).alias("k"), "rep"), "k", scratch)
+    u, v = (classes.select(F.col("node").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v")))
+    edges = join_one(links, u, "a", scratch).join(v, "b").select("u", "v").unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     part = components(edges, scratch).select(F.col("node").alias("doc_id"), "component")
     out = signed.select("doc_id", "n_shingles").join(part, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -85,6 +85,31 @@ def test_minhash_chain_of_copies_whose_ends_differ(spark):
     assert [got[i] for i in range(60)] == components(60, links)
 
 
+def test_minhash_links_every_text_of_a_repeated_id(spark):
+    """Ids with two unlike texts, of which the second or both have near copies."""
+    rng = random.Random(11)
+    texts, ids = [], []
+    for i in range(40):
+        one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "ab")
+        texts += [one, two, two + " end", one + " end"]
+        ids += [i, i, 100 + i, 200 + i if i % 2 else 100 + i]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(make(spark, texts, ids=ids), width=2).collect()}
+    assert got == {(i, i) for i in range(40)} | {(100 + i, i) for i in range(40)} | {(200 + i, i) for i in range(40) if i % 2}
+
+
+def test_hot_keys_are_split_and_joined_whole(spark, monkeypatch):
+    from kinweave.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    scratch = common.Scratch(spark, "t")
+    many = scratch.keep(spark.range(300).select(F.when(F.col("id") < 150, 1).when(F.col("id") < 290, F.col("id")).alias("k"), "id"))
+    one = spark.createDataFrame([(1, "a"), (200, "b"), (999, "c")], "k long, x string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(map(str, common.join_one(many, one, "k", scratch, how).collect())) == sorted(map(str, many.join(one, "k", how).collect()))
+    counted = many.where("k is not null").groupBy("k").agg(F.max("id").alias("x"), F.count("*").alias("n"))
+    assert sorted(map(str, common.join_one(many, counted, "k", scratch, counted="n").collect())) == sorted(map(str, many.join(counted.drop("n"), "k").collect()))
+
+
 def test_minhash_odd_rows(spark):
     docs = make(spark, ["a b c d e f"] * 3 + ["x y z"] * 2 + [None], ids=[5, 5, 7, None, 9, 11])
     got = sorted([(r["doc_id"] is None, r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()], key=str)

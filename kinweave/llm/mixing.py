@@ -3,15 +3,17 @@
 Each source's documents are laid one after the other in an order shuffled by a hash of the id, and this stream,
 repeated without end, is cut into blocks of BLOCK words. Slot n of the schedule falls on the point n * golden ratio mod 1;
 cumulative target weights map the point to a source, and the rank of the slot among its source's slots names the block
-that it plays. Sources thus alternate evenly at every scale. A source takes its target: its last block is cut there, and a source that the points left a
-few slots short gets them at the end.
+that it plays. The slots so give the order of the mix, in which sources alternate evenly at every scale: `slot` is the first that plays a document. A
+source ends at its target: its last block is cut there, later slots of it are passed over, and the few blocks that the
+points still owe a source when all slots are dealt follow in further slots.
 
-Ranks and running totals are made in two levels (chunks or hash buckets, then inside them), so a hot source isn't one task.
+Ranks and running totals are made in two levels (chunks or hash buckets, then inside them), so a hot source isn't one task. Only the table of sources
+is sorted as a whole.
 
 Targets: weights repeat over the sources by code point, null last. 150 % of all words are shared by weight; no target is
 above twice its source's words, and the excess is shared again among the others.
 
-Defined cases: null, empty and blank texts have size 0 and take 0. A source of size 0 has target 0. Rows that repeat an id are
+Defined cases: null, empty and blank texts have size 0, take 0 and have no slot. A source of size 0 has target 0. Rows that repeat an id are
 separate. Ties go by id and size. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -20,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
-from .sharding import range_of
+from .common import Scratch, join_one, table
 
-BLOCK = 1024
+BLOCK = 256
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
@@ -32,8 +33,6 @@ CHUNK = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 #: Golden ratio as a multiplier of 32 bits: multiples of it mod 2**32 are spread evenly.
 GOLDEN = 2654435769
-#: The schedule's table of sources is held by the driver: as many at most.
-MAX_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -64,42 +63,40 @@ def laid(docs: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("bucket", "order", "upto", "base")
 
 
-def schedule(spark, needs: list[tuple[int, int]], scratch: Scratch) -> DataFrame:
-    """slot, sid and rank: needs has (sid, blocks wanted); each sid gets the ranks 0 to blocks - 1."""
-    total, upto, bounds = sum(n for _, n in needs), 0, []
-    for _, n in needs:
-        upto += n
-        bounds.append(upto * (1 << 32) // max(total, 1))
-    ids = F.array(*[F.lit(s) for s, _ in needs])
+def schedule(needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """slot, sid and rank: needs has sid and blocks, the blocks wanted; each sid gets the ranks 0 to blocks - 1."""
+    spark = needs.sparkSession
+    upto = F.sum("blocks").over(Window.orderBy("sid"))
+    needs = scratch.keep(needs.withColumn("upto", upto), "needs")
+    found = needs.agg(F.max("upto").alias("total"), F.count("*").alias("n")).first()
+    total = found["total"] or 0
+    # a source's part of the points, cut where the points' leading bits change: with four cells a source, a slot meets few sources
+    shift = 32 - min(30, (4 * found["n"]).bit_length())
+    bound = lambda x: F.floor(x.cast("decimal(38,0)") * (1 << 32) / max(total, 1)).cast("long")
+    parts = needs.withColumns({"lo": bound(F.col("upto") - F.col("blocks")), "hi": bound(F.col("upto"))}).where("lo < hi")
+    parts = parts.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift)))).drop("upto")
     point = F.pmod(F.pmod(F.col("id"), F.lit(1 << 31)) * GOLDEN, F.lit(1 << 32))
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.get(ids, range_of(point, bounds[:-1])).alias("sid"), F.floor(F.col("id") / CHUNK).alias("chunk"))
+    slots = spark.range(total).select(F.col("id").alias("slot"), point.alias("point"), F.shiftright(point, shift).alias("cell"), F.floor(F.col("id") / CHUNK).alias("chunk"))
+    slots = slots.join(parts, "cell").where("point >= lo and point < hi").select("slot", "sid", "blocks", "chunk")
     counts = scratch.keep(slots.groupBy("sid", "chunk").agg(F.count("*").alias("n")), "chunks")
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).drop("n")
     slots = slots.withColumn("place", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1).join(base, ["sid", "chunk"])
-    wanted = spark.createDataFrame([(s, n) for s, n in needs], "sid int, blocks long")
-    ranked = slots.join(wanted, "sid").withColumn("rank", F.col("base") + F.col("place")).where("rank < blocks").select("slot", "sid", "rank")
-    short = wanted.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").where("coalesce(n, 0) < blocks")
-    tail = short.select(F.lit(total).cast("long").alias("slot"), "sid", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("blocks") - 1)).alias("rank"))
-    return ranked.unionByName(tail)
+    ranked = slots.withColumn("rank", F.col("base") + F.col("place")).where("rank < blocks").select("slot", "sid", "rank")
+    owed = needs.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
+    owed = owed.select("sid", "n", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"))
+    return ranked.unionByName(owed.select(((F.col("rank") - F.col("n")) * found["n"] + F.col("sid") + total).alias("slot"), "sid", "rank"))
 
 
-def plan(docs: DataFrame, scratch: Scratch, block: int = BLOCK, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
-    """docs has doc_id, source and text. (rows laid out with their targets; pieces: slot, sid, start, epoch, words of a document a slot takes)."""
-    spark = docs.sparkSession
-    sized = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sized")
+def plan(docs: DataFrame, scratch: Scratch, block: int = BLOCK, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """docs has doc_id, source, text and what to carry. (rows laid out with their targets; pieces: slot, sid, start, epoch, words of a document a slot takes)."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    sized = scratch.keep(docs.select("doc_id", *carry, "source", key.alias("of"), size_of(F.col("text")).alias("size")), "sized")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, share, repeats)
-    listed = sources.orderBy("sid").limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: the schedule's table has no proven bound")
-    goals = {r["sid"]: min(int(r["target"] + 0.5), repeats * r["size"]) for r in listed}
-    known = spark.createDataFrame([(r["source"], r["sid"], r["size"], float(r["target"]), goals[r["sid"]]) for r in listed], "source string, sid int, source_size long, target double, goal long")
-    rows = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["source"])).select("doc_id", "sid", "size", "source_size", "target", "goal")
+    goal = F.least(F.floor(F.col("target") + 0.5), F.col("size") * repeats)
+    sources = scratch.keep(sources.select(key.alias("of"), "sid", F.col("size").alias("source_size"), "target", goal.cast("long").alias("goal")), "sources")
+    rows = join_one(sized, sources, "of", scratch).select("doc_id", *carry, "sid", "size", "source_size", "target", "goal")
     rows = scratch.keep(laid(rows), "laid")
-    needs = [(s, -(-g // block)) for s, g in goals.items() if g > 0]
-    if not needs:
-        empty = rows.select(F.lit(0).cast("long").alias("slot"), "sid", "start", F.lit(0).alias("epoch"), F.col("size").alias("words")).where("false")
-        return rows, empty
-    slots = schedule(spark, needs, scratch)
+    slots = schedule(sources.where("goal > 0").select("sid", F.ceil(F.col("goal") / block).alias("blocks")), scratch)
     epochs = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     spans = epochs.withColumn("lo", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("goal"))).where("lo < hi")
     pieces = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
@@ -108,16 +105,20 @@ def plan(docs: DataFrame, scratch: Scratch, block: int = BLOCK, weights: tuple =
 
 
 def mix(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs."""
+    """doc_id, size, source_size, target, taken and slot (the first that plays it) of every row of docs."""
     rows, pieces = plan(docs, scratch or Scratch(docs.sparkSession, "mix"), **options)
-    taken = pieces.groupBy("sid", "start").agg(F.sum("words").cast("long").alias("taken"))
+    taken = pieces.groupBy("sid", "start").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("slot"))
     some = rows.where("size > 0").join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", "taken")
+    none = rows.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slot": F.lit(None).cast("long")})
+    return some.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
-def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+def played(docs: DataFrame, name: str, scratch: Scratch, **options) -> DataFrame:
+    """`name` (a column of docs that numbers its rows), epoch and slot of each time that the mix plays a document, at least half of it."""
+    rows, pieces = plan(docs, scratch, carry=(name,), **options)
+    times = pieces.groupBy("sid", "start", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    return rows.where("size > 0").join(times, ["sid", "start"]).where("2 * words >= size").select(name, "epoch", "slot")
 
 
-OP1_SQL = None
+def op1_mixing(spark, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))

@@ -191,14 +191,63 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def needs(spark, blocks):
+    return spark.createDataFrame(list(enumerate(blocks)), "sid int, blocks long")
+
+
 def test_mixing_schedule_is_spread_evenly(spark):
     from kinweave.llm.common import Scratch
 
-    rows = mixing.schedule(spark, [(0, 5000), (1, 2000), (2, 1000)], Scratch(spark, "t")).orderBy("slot").collect()
-    assert Counter(r["sid"] for r in rows) == {0: 5000, 1: 2000, 2: 1000}
+    rows = mixing.schedule(needs(spark, [5000, 2000, 1000]), Scratch(spark, "t")).orderBy("slot").collect()
+    assert Counter(r["sid"] for r in rows) == {0: 5000, 1: 2000, 2: 1000} and len({r["slot"] for r in rows}) == 8000
     assert all(sorted(r["rank"] for r in rows if r["sid"] == s) == list(range(n)) for s, n in ((0, 5000), (1, 2000), (2, 1000)))
     for at in range(0, 7800, 100):
         assert abs(sum(r["sid"] == 1 for r in rows[at : at + 100]) - 25) <= 4
+    # every slot by brute force: its point's source, by cumulative blocks
+    for r in rows:
+        if r["slot"] < 8000:
+            point = r["slot"] * mixing.GOLDEN % 2**32
+            assert r["sid"] == (point >= 5000 * 2**32 // 8000) + (point >= 7000 * 2**32 // 8000)
+
+
+def test_mixing_schedule_of_many_sources(spark):
+    from kinweave.llm.common import Scratch
+
+    blocks = [1 + (i % 7 == 0) * 40 for i in range(3000)]
+    rows = mixing.schedule(needs(spark, blocks), Scratch(spark, "t")).collect()
+    assert Counter(r["sid"] for r in rows) == dict(enumerate(blocks)) and len({(r["sid"], r["rank"]) for r in rows}) == sum(blocks)
+
+
+def test_mix_plays_what_the_schedule_says(spark):
+    """Per document, by brute force: streams shuffled by XXH64, blocks dealt by the points. Fails if points or slots are replaced."""
+    import struct
+
+    import xxhash
+
+    sources = ["a"] * 120 + ["b"] * 60 + ["c"] * 30
+    texts = [" ".join(["w"] * (1 + i % 50)) for i in range(210)]
+    got = {r["doc_id"]: r for r in mixing.mix(make(spark, texts, sources=sources), block=16).collect()}
+    sizes = [len(t.split()) for t in texts]
+    total = {s: sum(n for n, of in zip(sizes, sources, strict=True) if of == s) for s in "abc"}
+    goal = {s: int(got[sources.index(s)]["target"] + 0.5) for s in "abc"}
+    blocks = [-(-goal[s] // 16) for s in "abc"]
+    bounds = [sum(blocks[: i + 1]) * 2**32 // sum(blocks) for i in range(3)]
+    ranks = {s: [] for s in "abc"}
+    for slot in range(sum(blocks)):
+        ranks["abc"[sum(slot * mixing.GOLDEN % 2**32 >= x for x in bounds[:2])]].append(slot)
+    order = lambda i: (x := xxhash.xxh64_intdigest(b"mix", seed=xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42))) - (x >> 63 << 64)
+    for s in "abc":
+        at = 0
+        stream = sorted((i for i in range(210) if sources[i] == s), key=lambda i: (order(i) % mixing.BUCKETS, order(i)))
+        for i in stream:
+            taken = [w for e in (0, 1) for w in range(at + e * total[s], at + e * total[s] + sizes[i]) if w < goal[s]]
+            assert got[i]["taken"] == len(taken), i
+            if taken and taken[0] // 16 < len(ranks[s]) and taken[-1] // 16 < len(ranks[s]):
+                assert got[i]["slot"] == min(ranks[s][w // 16] for w in taken), i
+            at += sizes[i]
+    # every stretch of the mix holds the sources by their targets
+    slots = sorted((r["slot"], sources[i]) for i, r in got.items() if r["slot"] is not None)
+    assert all({of for _, of in slots[k : k + 40]} == set("abc") for k in range(0, 120, 40))
 
 
 # --- 3 -------------------------------------------------------------------------------------------------------------------

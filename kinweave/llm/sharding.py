@@ -1,13 +1,14 @@
 """Sharding: size-weighted key samples give splitters, records are range-partitioned, overfull ranges subdivided.
 
-Law `bytes`: shards hold nearly equal bytes. Records are ordered by (CRC-32 of the text, hash of the id, id), so equal
+Law `bytes`: shards hold nearly equal bytes. Records are ordered by (CRC-32 of the text, hash of the id), so equal
 texts are neighbours and a large group of copies is cut only where a shard ends. A sample drawn with probability in
 proportion to size gives splitters for RANGES ranges; ranges with more than twice their part are sampled again
-more densely and cut, until none can be cut. A running total inside each range then gives each record its place in
-the whole order, and its shard is the sixteenth of all bytes in which its middle byte falls.
+more densely and subdivided, until each of them is one key. A shard is a run of whole ranges: a range goes where the middle of its bytes
+falls, so a shard is within two ranges' bytes (some 0.1 % of all, or one record, if that is larger) of its part. Slots number a shard's records
+range by range; only the ranges' totals are added up in one place.
 
 Defined cases: a null text has size 1 and no CRC-32, and comes first; an empty text has size 1. Rows that are equal in id and
-text share a key and stay in one range, in any order. Ties go by id. An empty table gives no rows.
+text are spread over neighbouring keys, and over ranges, by their place in the input. Ties go by id. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -16,14 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, numbered, table
 
 SHARDS = 16
-#: First ranges; also the most splitters that one round adds. The list of splitters is the only thing sent to the driver.
-RANGES = 256
+#: First ranges. Some five times as many splitters are the most that is sent to the driver, whatever the input.
+RANGES = 4096
 #: Sampled keys for each range that a round wants.
 OVERSAMPLE = 16
-ROUNDS = 6
 
 
 def range_of(key: Column, splitters: list[int]) -> Column:
@@ -34,64 +34,62 @@ def range_of(key: Column, splitters: list[int]) -> Column:
         width *= 2
     if not steps:
         return F.lit(0)
-    bounds = F.array(*[F.lit(x).cast("long") for x in splitters])
+    bounds = F.split(F.lit(",".join(map(str, splitters))), ",").cast("array<long>")  # folded to one literal
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def _cut(sample: DataFrame, wanted: dict[int, int]) -> list[int]:
-    """Weighted quantiles of each range's sample: RANGES splitters at most, whatever the input's size."""
+def _cut(sample: DataFrame, wanted: DataFrame) -> list[int]:
+    """Of each wanted range (range, pieces): the first sampled key behind each full piece; a key that fills a piece is cut out."""
     by = Window.partitionBy("range").orderBy("key")
-    pieces = F.create_map(*[F.lit(x) for r in wanted.items() for x in r])
-    rows = (
-        sample.withColumn("pieces", pieces[F.col("range")])
-        .withColumn("upto", F.sum("weight").over(by))
-        .withColumn("part", F.least(F.floor(F.col("upto") * F.col("pieces") / F.sum("weight").over(Window.partitionBy("range"))), F.col("pieces") - 1))
-        .where("part > 0")
-        .groupBy("range", "part")
-        .agg(F.min("key").alias("key"))
-    )
-    return [r["key"] for r in rows.select("key").distinct().collect()]
-
-
-def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: tuple[str, str] = ("text_crc32", "doc_id"), size: str = "size", carry: tuple[str, ...] = ()) -> DataFrame:
+    keys = sample.groupBy("range", "key").agg(F.sum("weight").alias("weight"))
+    rows = keys.join(F.broadcast(wanted), "range").withColumns({"before": F.sum("weight").over(by) - F.col("weight"), "piece": F.sum("weight").over(Window.partitionBy("range")) / F.col("pieces")})
+    first = rows.withColumn("part", F.floor(F.col("before") / F.col("piece"))).where("part > 0").groupBy("range", "part").agg(F.min("key").alias("key")).select("key")
+    heavy = rows.where("weight >= piece").select(F.explode(F.array(F.col("key"), F.col("key") + 1)).alias("key"))
+    return [r["key"] for r in first.unionByName(heavy).distinct().collect()]
+
+
+def splitters(keyed: DataFrame, total: int, size: str = "size", ranges: int = RANGES) -> list[int]:
+    """Keys that cut the records (key and size) into ranges of about total / ranges, none of them above twice that unless it is one key."""
+    spark, part, found = keyed.sparkSession, total / ranges, []
+    wanted = spark.createDataFrame([(0, ranges)], "range int, pieces long")
+    density = OVERSAMPLE / part
+    while True:
+        ranged = keyed.withColumn("range", range_of(F.col("key"), found))
+        # a record is drawn with probability size * density; a larger record is sure to be drawn and weighs as much more
+        drawn = ranged.join(F.broadcast(wanted), "range", "left_semi").withColumn("p", F.col(size) * density)
+        drawn = drawn.where(F.pmod(F.xxhash64("key", F.lit(len(found))), F.lit(1 << 30)) / (1 << 30) < F.col("p"))
+        added = _cut(drawn.select("range", "key", F.greatest("p", F.lit(1.0)).alias("weight")), wanted)
+        before, found = len(found), sorted({*found, *added})
+        if len(found) == before and density >= 1:
+            return found  # every record was drawn: what is overfull is a key that is
+        full = keyed.groupBy(range_of(F.col("key"), found).alias("range")).agg(F.sum(size).alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        # at most ranges / 2 of them, for their bytes are above 2 * part each
+        full = full.where((F.col("b") > 2 * part) & (F.col("lo") < F.col("hi"))).select("range", "b").collect()
+        if not full:
+            return found
+        wanted = spark.createDataFrame([(r["range"], int(2 * r["b"] // part)) for r in full], "range int, pieces long")
+        density *= 4
+
+
+def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: tuple[str, str] = ("text_crc32", "doc_id"), size: str = "size", ranges: int = RANGES) -> DataFrame:
     """The records with shard and slot; records has doc_id, the size and the CRC-32, and no text."""
     major, minor = key_of
-    keyed = records.withColumn("key", (F.coalesce(F.col(major) + 1, F.lit(0)) * (1 << 30)) + F.coalesce(F.pmod(F.xxhash64(minor), F.lit(1 << 30)), F.lit(0)))
-    keyed = scratch.keep(keyed, "keyed")
+    columns = records.columns
+    # 33 bits of the CRC-32, 20 of the id, 10 of the place for rows that repeat an id and a text
+    key = F.coalesce(F.col(major) + 1, F.lit(0)) * (1 << 30) + F.pmod(F.xxhash64(minor), F.lit(1 << 20)) * (1 << 10) + F.pmod(F.xxhash64("place"), F.lit(1 << 10))
+    keyed = scratch.keep(numbered(records, scratch, "place").withColumn("key", key), "keyed")
     total = keyed.agg(F.sum(size).alias("b")).first()["b"] or 0
     if not total:
-        return keyed.drop("key").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    splitters, part = [], total / RANGES
-    wanted = {0: RANGES}
-    density = RANGES * OVERSAMPLE / total
-    for _ in range(ROUNDS):
-        ranged = keyed.withColumn("range", range_of(F.col("key"), splitters))
-        # a record is drawn with probability size * density; a larger record is sure to be drawn and weighs as much more
-        among = ranged.where(F.col("range").isin(list(wanted))) if splitters else ranged
-        drawn = among.select("range", "key", F.greatest(F.col(size) * density, F.lit(1.0)).alias("weight"), (F.pmod(F.xxhash64("key", F.lit(len(splitters))), F.lit(1 << 30)) / (1 << 30)).alias("u"), (F.col(size) * density).alias("p"))
-        added = _cut(drawn.where("u < p").select("range", "key", "weight"), wanted)
-        before, splitters = len(splitters), sorted({*splitters, *added})
-        if len(splitters) == before:
-            break
-        full = keyed.groupBy(range_of(F.col("key"), splitters).alias("range")).agg(F.sum(size).alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("b") > 2 * part) & (F.col("lo") < F.col("hi"))).orderBy(F.desc("b")).limit(RANGES).collect()
-        if not full:
-            break
-        wanted = {r["range"]: int(min(RANGES, 2 * r["b"] // part)) for r in full}
-        density *= 4
-    ranged = keyed.withColumn("range", range_of(F.col("key"), splitters))
-    offsets = ranged.groupBy("range").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges, a bounded list
-    offsets = offsets.select("range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("range").orderBy("key", minor)
-    placed = (
-        ranged.withColumns({"upto": F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(inside)})
-        .join(F.broadcast(offsets), "range")
-        .withColumn("shard", F.least(F.floor((F.col("b0") + F.col("upto") - (F.col(size) + 1) / 2) * shards / total), F.lit(shards - 1)).cast("int"))
-        .withColumn("rank", F.col("n0") + F.col("rank"))
-    )
-    placed = scratch.keep(placed.select(*[c for c in records.columns], "shard", "rank"), "placed")
-    starts = placed.groupBy("shard").agg(F.min("rank").alias("first"))
-    return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop("rank", "first")
+        return keyed.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    ranged = keyed.withColumn("range", range_of(F.col("key"), splitters(keyed, total, size, ranges)))
+    ranged = scratch.keep(ranged, "ranged")
+    # the ranges are a bounded list: their running totals give the shards and each range's first slot
+    sums = ranged.groupBy("range").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
+    middle = F.sum("b").over(Window.orderBy("range")) - F.col("b") / 2
+    sums = sums.withColumn("shard", F.least(F.floor(middle * shards / total), F.lit(shards - 1)).cast("int"))
+    sums = sums.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).select("range", "shard", "first")
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("key", minor, "place")) - 1
+    return ranged.withColumn("rank", rank).join(F.broadcast(sums), "range").select(*columns, "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None) -> DataFrame:

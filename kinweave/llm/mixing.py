@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     rows = rows.withColumn("level", (F.col("budget") - F.col("before")) / F.col("rest"))
     rows = rows.withColumn("full", F.col("cap") <= F.col("weight") * F.col("level"))
     # the first source that isn't full sets the level of all that follow it
-    rows = rows.withColumn("at", F.min_by(F.when(~F.col("full"), F.col("level")), F.when(~F.col("full"), F.col("cap") / F.col("weight"))).over(whole))
+    rows = rows.withColumn("at", F.min_by(F.when(~F.col("full"), F.col("level")), F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "sid"))).over(whole))
     return rows.select("source", "size", "sid", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("at")).alias("target"))
 
 

@@ -191,6 +191,12 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_targets_of_sources_that_fill_up_together(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 200), ("c", 100)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert got["a"] == 200 and abs(got["b"] - 800 / 3) < 1e-6 and abs(got["c"] - 400 / 3) < 1e-6
+
+
 def needs(spark, blocks):
     return spark.createDataFrame(list(enumerate(blocks)), "sid int, blocks long")
 

@@ -4,13 +4,13 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor ke
 documents; the last returns the place of each kept row.
 
 - language_id drops texts without a letter (null and empty ones too) and predictions below MIN_SCORE.
-- near_dedup keeps one document, the smallest id, of each group of near copies (five-word shingles, 0.8 or more).
+- near_dedup keeps one row, of the smallest id, of each group of near copies (five-word shingles, 0.8 or more).
 - decontaminate drops documents that hold a passage of the benchmark.
-- mix repeats or leaves out whole documents, so that sources come near their target words: a document goes out as often as
-  the words that the schedule takes from it are multiples of its size, rounded.
+- mix repeats or leaves out whole documents, so that sources come near their target words: a document goes out each time that
+  the schedule plays at least half of it. Its rows are written in the order of the schedule's slots.
 - shard gives each row its shard and slot by nearly equal bytes.
 
-Null ids pass the first three stages as rows of their own. Rows that are alike in every column count as one document after near_dedup.
+Rows count by themselves, not by id: rows that repeat an id and rows with a null id stay or go by their own texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import decontaminate as winnow
 from kinweave.llm import language_id, minhash, mixing, sharding
-from kinweave.llm.common import Scratch, held_out, table
+from kinweave.llm.common import Scratch, held_out, numbered, table
 
 MIN_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,16 +44,12 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, scratch=_scratch(spark, "dedup"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows of a kept id with different texts that are near copies of each other: the first text by CRC-32 and hash stays
-    doubled = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    doubled = _open[0].keep(doubled, "doubled")
-    if not doubled.limit(1).count():
-        return kept
-    same = kept.join(doubled, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.crc32(F.col("text").cast("binary")), "text", "lang", "source", "n_chars")).alias("r"))
-    return kept.join(doubled, "doc_id", "left_anti").unionByName(same.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+    scratch = _scratch(spark, "dedup")
+    rows = numbered(docs.select(*COLUMNS), scratch)
+    found = minhash.near_duplicates(rows.select(F.col("uid").alias("doc_id"), "text"), scratch=scratch).select(F.col("doc_id").alias("uid"), "component_id")
+    found = scratch.keep(found.join(rows.select("uid", "doc_id"), "uid"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
+    return rows.join(first.select("first.uid"), "uid", "left_semi").select(*COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +58,10 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs, _scratch(spark, "mix"))
-    times = taken.where("size > 0").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
-    docs = docs.select(*COLUMNS)
-    out = docs.join(times.withColumnRenamed("doc_id", "taken_id"), docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    scratch = _scratch(spark, "mix")
+    rows = numbered(docs.select(*COLUMNS), scratch)
+    played = scratch.keep(mixing.played(rows, "uid", scratch), "played")
+    return rows.join(played, "uid").repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid", "epoch").select(*COLUMNS)
 
 
 def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ WINDOW - GRAM + 1 grams a window keeps exactly these minima of a document, so ev
 fingerprint. Distinct kept fingerprints of each document are joined with those of the benchmark. Documents with a hit
 are extended: each of their windows whose fingerprint was hit is compared word for word with the
 benchmark's windows. An item of fewer than WINDOW words is one window of its own length; documents are searched for it
-by the hash of every gram of that length, as winnowing gives no guarantee for shorter spans.
+by the hash of every gram of that length, as winnowing gives no guarantee for shorter spans. All lengths are searched in one pass over the texts.
 
 Defined cases: null and empty texts have no words and no hit; an item without words (or null) occurs nowhere. Equal
 items all count. Rows that repeat a doc_id are told apart and each come out. Extra columns are ignored.
@@ -21,8 +21,6 @@ from .common import Scratch, table
 WINDOW, GRAM = 10, 5
 #: A word is a run of these: lower-case letters and digits of ASCII and all that isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same with the capitals that become small letters: counts words without lower-casing.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,60 +30,63 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _gram_hashes(hashes: Column, n: int) -> Column:
-    """Hash of the n words from each position; the last n - 1 positions give none."""
-    return F.slice(F.transform(hashes, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)])), F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+def _zipped(a: Column, b: Column, shift: int, f) -> Column:
+    """f of each element of a and the one of b that is shift places further on."""
+    n = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(shift + 1), n), f)
 
 
-def _window_minima(grams: Column, n: int) -> Column:
-    return F.slice(F.transform(grams, lambda x, i: F.least(x, *[F.get(grams, i + k) for k in range(1, n)])), F.lit(1), F.greatest(F.size(grams) - (n - 1), F.lit(0)))
+def marks(df: DataFrame, lengths: list[int], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """df has ws, the words; adds m<length> of each length: by first word, the winnowed minimum of each window, or the hash of each shorter gram.
 
+    A gram's hash grows from that of the gram one word shorter, and a minimum over many grams from two over fewer, so each word costs one step a length.
+    """
+    df = df.withColumn("g1", F.transform("ws", lambda w: F.xxhash64(w)))
+    upto = max([gram if n == window else n for n in lengths], default=1)
+    for n in range(2, upto + 1):
+        df = df.withColumn(f"g{n}", _zipped(F.col(f"g{n - 1}"), F.col("g1"), n - 1, lambda x, y: F.xxhash64(x, y)))
+    if window in lengths:
+        df, width, wanted = df.withColumn("least", F.col(f"g{gram}")), 1, window - gram + 1
+        while width < wanted:
+            shift = min(width, wanted - width)
+            df, width = df.withColumn("least", _zipped(F.col("least"), F.col("least"), shift, lambda x, y: F.least(x, y))), width + shift
+    return df.withColumns({f"m{n}": F.col("least" if n == window else f"g{n}") for n in lengths}).drop("least", *[f"g{n}" for n in range(1, upto + 1)])
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("h", F.transform("ws", lambda w: F.xxhash64(w)))
 
-
-def fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """df has ws, the words; adds m, the winnowed minimum of each window."""
-    df = _hashed(df).withColumn("g", _gram_hashes(F.col("h"), gram))
-    return df.withColumn("m", _window_minima(F.col("g"), window - gram + 1)).drop("h", "g")
-
-
-def _keyed(df: DataFrame, length: int) -> DataFrame:
-    """As fingerprints(), but m is the hash of every gram of that length."""
-    return _hashed(df).withColumn("m", _gram_hashes(F.col("h"), length) if length > 1 else F.col("h")).drop("h")
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(row, at, length, wid) of every occurrence of a benchmark window, and (wid, item_id); docs has row and text."""
+def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, at, length, wid) of every occurrence of a benchmark window, (wid, item_id), and docs (doc_id, row, text) with n_words for text."""
     items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     long_items = items.where(F.size("ws") >= window)
     spans = long_items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - window + 1), lambda i: F.slice("ws", i, window))).alias("ws"))
     spans = scratch.keep(spans.unionByName(items.where(F.size("ws") < window)).select("item_id", "ws", F.concat_ws(" ", "ws").alias("span")).distinct(), "spans")
-    windows = scratch.keep(spans.groupBy("span").agg(F.first("ws").alias("ws"), F.min("item_id").alias("any")).withColumn("wid", F.xxhash64("span")).select("wid", "span", "ws", F.size("ws").alias("length")), "windows")
+    windows = scratch.keep(spans.groupBy("span").agg(F.first("ws").alias("ws")).withColumn("wid", F.xxhash64("span")).select("wid", "span", "ws", F.size("ws").alias("length")), "windows")
     owners = spans.join(windows.select("wid", "span"), "span").select("wid", "item_id").distinct()
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    found = None
-    for length in lengths:
-        mark = (lambda df: fingerprints(df, window, gram)) if length == window else (lambda df, n=length: _keyed(df, n))
-        keys = mark(windows.where(F.col("length") == length)).select("wid", "span", F.col("m")[0].alias("m"))
-        marked = mark(docs.select("row", words(F.col("text")).alias("ws")).where(F.size("ws") >= length))
-        touched = marked.select("row", F.explode(F.array_distinct("m")).alias("m")).join(keys.select("m").distinct(), "m", "left_semi").select("row").distinct()
-        touched = scratch.keep(touched, "touched")
-        # touched documents have words enough; a filter on them would be pushed below the join and split every text
-        extended = mark(docs.join(touched, "row", "left_semi").select("row", words(F.col("text")).alias("ws")))
-        spots = _spots(extended, keys, length)
-        found = spots if found is None else found.unionByName(spots)
-    if found is None:
-        found = docs.select("row", F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid")).where("false")
-    return found, owners
-
-
-def _spots(extended: DataFrame, keys: DataFrame, length: int) -> DataFrame:
-    """Windows of touched documents as (at, fingerprint, words); those the benchmark has, word for word."""
-    rows = extended.select("row", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("m") - 1).alias("at"), F.col("m").alias("m"), F.transform("m", lambda _, i: F.concat_ws(" ", F.slice("ws", i + 1, length))).alias("span"))).alias("e"))
-    rows = rows.select("row", F.col("e.at").alias("at"), F.col("e.m").alias("m"), F.col("e.span").alias("span"))
-    return rows.join(keys, ["m", "span"]).select("row", "at", F.lit(length).alias("length"), "wid")
+    own = F.coalesce(*[F.when(F.col("length") == n, F.col(f"m{n}")[0]) for n in lengths], F.lit(None).cast("long"))
+    keys = scratch.keep(marks(windows, lengths, window, gram).select(own.alias("m"), "length").distinct(), "keys")
+    # a window's minimum recurs over its neighbours; grams of one length seldom do
+    every = F.concat(F.array("row"), *[F.array_distinct(f"m{n}") if n == window else F.col(f"m{n}") for n in lengths])
+    # splitting a text into words is the dearest step: one pass gives a first row with the words' number, and a row for each fingerprint that is hit
+    split = docs.select("doc_id", "row", words(F.col("text")).alias("ws"))
+    found = marks(split, lengths, window, gram).select("doc_id", "row", F.size("ws").cast("long").alias("n_words"), F.posexplode(every).alias("pos", "m"))
+    found = found.join(keys.select("m", F.lit(True).alias("hit")).distinct(), "m", "left").where("pos = 0 or hit")
+    scanned = scratch.keep(found.select("doc_id", "row", "n_words", "pos"), "scanned")
+    counts, touched = scanned.where("pos = 0").select("doc_id", "row", "n_words"), scanned.where("pos > 0").select("row").distinct()
+    if not lengths:
+        return docs.select("row", F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid")).where("false"), owners, counts
+    # touched documents have words; a filter on them would be pushed below the join and split every text
+    held = docs.join(touched, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("ws"))
+    held = scratch.keep(held, "held")
+
+    def places(n: int) -> Column:
+        return F.transform(f"m{n}", lambda x, i: F.struct(i.alias("at"), F.lit(n).alias("length"), x.alias("m")))
+
+    spots = marks(held, lengths, window, gram).select("row", F.explode(F.concat(*[places(n) for n in lengths])).alias("e")).select("row", "e.*")
+    # only windows whose fingerprint was hit are written out as words
+    spots = spots.join(keys, ["m", "length"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "length")).alias("spots"))
+    spelt = F.transform("spots", lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), F.concat_ws(" ", F.slice("ws", x["at"] + 1, x["length"])).alias("span")))
+    spelt = held.join(spots, "row").select("row", F.explode(spelt).alias("e")).select("row", "e.*")
+    return spelt.join(windows.select("span", "length", "wid"), ["span", "length"]).select("row", "at", "length", "wid"), owners, counts
 
 
 def covered(spots: Column) -> Column:
@@ -106,13 +107,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     scratch = scratch or Scratch(docs.sparkSession, "winnow")
     # rows of one doc_id and one text are alike; `row` names a text of an id
     docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    found, owners = hits(docs, benchmark, scratch)
+    found, owners, counts = hits(docs, benchmark, scratch)
     found = scratch.keep(found.distinct(), "found")
     n_hit = found.groupBy("row").agg(covered(F.array_sort(F.collect_set(F.struct("at", "length")))).cast("long").alias("n_hit"))
     named = found.select("row", "wid").distinct().join(owners, "wid").select("row", F.col("item_id").cast("string").alias("item")).where("item is not null").distinct()
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = scratch.keep(n_hit.join(named, "row", "left"), "hit")
-    out = docs.select("doc_id", "row", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words")).join(hit, "row", "left")
+    out = counts.join(hit, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),

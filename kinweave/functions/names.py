@@ -88,12 +88,25 @@ def script(text: Column) -> Column:
 
 
 def split_by_script(text: Column) -> Column:
-    """struct(cyrillic, latin, hebrew): the words of each script, in order; null where there are none."""
-    words = F.split(text, r"[ /|()\[\]\\-]+")
-    of = lambda k: F.nullif(F.array_join(F.filter(words, lambda w: w.rlike(SCRIPTS[k])), " "), F.lit(""))
+    """struct(cyrillic, latin, hebrew): the words of each script, in order; null where there are none. A word of several scripts is split by its letters."""
+    words = F.filter(F.split(text, r"[ /|()\[\]\\-]+"), lambda w: F.length(w) > 0)
+
+    def of(k: str) -> Column:
+        own = F.transform(F.filter(words, lambda w: w.rlike(SCRIPTS[k])), lambda w: F.when(script(w) == "Mixed", F.regexp_replace(w, f"(?!{SCRIPTS[k]}).", "")).otherwise(w))
+        return F.nullif(F.array_join(own, " "), F.lit(""))
+
     return F.struct(of("Cyrillic").alias("cyrillic"), of("Latin").alias("latin"), of("Hebrew").alias("hebrew"))
 
 
+def contains(text: Column, script_: str) -> Column:
+    return F.coalesce(text.rlike(SCRIPTS[script_]), F.lit(False))
+
+
+def is_purely(text: Column, script_: str) -> Column:
+    """Letters of that script and of no other."""
+    return script(text) == script_
+
+
 def is_ukrainian(text: Column) -> Column:
     return F.coalesce(text.rlike(SCRIPTS["Cyrillic"]) & (text.rlike("[іїєґІЇЄҐ]") | F.lower(text).rlike(UKRAINIAN_ENDINGS)), F.lit(False))
 

@@ -26,6 +26,11 @@ RANGES = 4096
 OVERSAMPLE = 16
 
 
+def _listed(numbers: list[int]) -> Column:
+    """A constant array; folded to one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+
 def range_of(key: Column, splitters: list[int]) -> Column:
     """Number of splitters at or below the key, by binary search."""
     steps, width = [], 1
@@ -34,15 +39,15 @@ def range_of(key: Column, splitters: list[int]) -> Column:
         width *= 2
     if not steps:
         return F.lit(0)
-    bounds = F.split(F.lit(",".join(map(str, splitters))), ",").cast("array<long>")  # folded to one literal
+    bounds = _listed(splitters)
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def _cut(sample: DataFrame, wanted: DataFrame) -> list[int]:
-    """Of each wanted range (range, pieces): the first sampled key behind each full piece; a key that fills a piece is cut out."""
+def _cut(sample: DataFrame, pieces: Column) -> list[int]:
+    """Of each range of the sample, which wants that many pieces: the first sampled key behind each full piece; a key that fills a piece is cut out."""
     by = Window.partitionBy("range").orderBy("key")
     keys = sample.groupBy("range", "key").agg(F.sum("weight").alias("weight"))
-    rows = keys.join(F.broadcast(wanted), "range").withColumns({"before": F.sum("weight").over(by) - F.col("weight"), "piece": F.sum("weight").over(Window.partitionBy("range")) / F.col("pieces")})
+    rows = keys.withColumns({"before": F.sum("weight").over(by) - F.col("weight"), "piece": F.sum("weight").over(Window.partitionBy("range")) / pieces})
     first = rows.withColumn("part", F.floor(F.col("before") / F.col("piece"))).where("part > 0").groupBy("range", "part").agg(F.min("key").alias("key")).select("key")
     heavy = rows.where("weight >= piece").select(F.explode(F.array(F.col("key"), F.col("key") + 1)).alias("key"))
     return [r["key"] for r in first.unionByName(heavy).distinct().collect()]
@@ -50,15 +55,15 @@ def _cut(sample: DataFrame, wanted: DataFrame) -> list[int]:
 
 def splitters(keyed: DataFrame, total: int, size: str = "size", ranges: int = RANGES) -> list[int]:
     """Keys that cut the records (key and size) into ranges of about total / ranges, none of them above twice that unless it is one key."""
-    spark, part, found = keyed.sparkSession, total / ranges, []
-    wanted = spark.createDataFrame([(0, ranges)], "range int, pieces long")
+    part, found, wanted = total / ranges, [], {0: ranges}
     density = OVERSAMPLE / part
     while True:
         ranged = keyed.withColumn("range", range_of(F.col("key"), found))
         # a record is drawn with probability size * density; a larger record is sure to be drawn and weighs as much more
-        drawn = ranged.join(F.broadcast(wanted), "range", "left_semi").withColumn("p", F.col(size) * density)
+        pieces = F.get(_listed([wanted.get(i, 0) for i in range(len(found) + 1)]), F.col("range"))
+        drawn = ranged.where(pieces > 0).withColumn("p", F.col(size) * density)
         drawn = drawn.where(F.pmod(F.xxhash64("key", F.lit(len(found))), F.lit(1 << 30)) / (1 << 30) < F.col("p"))
-        added = _cut(drawn.select("range", "key", F.greatest("p", F.lit(1.0)).alias("weight")), wanted)
+        added = _cut(drawn.select("range", "key", F.greatest("p", F.lit(1.0)).alias("weight")), pieces)
         before, found = len(found), sorted({*found, *added})
         if len(found) == before and density >= 1:
             return found  # every record was drawn: what is overfull is a key that is
@@ -67,7 +72,7 @@ def splitters(keyed: DataFrame, total: int, size: str = "size", ranges: int = RA
         full = full.where((F.col("b") > 2 * part) & (F.col("lo") < F.col("hi"))).select("range", "b").collect()
         if not full:
             return found
-        wanted = spark.createDataFrame([(r["range"], int(2 * r["b"] // part)) for r in full], "range int, pieces long")
+        wanted = {r["range"]: int(2 * r["b"] // part) for r in full}
         density *= 4
 
 

@@ -2,9 +2,10 @@
 
 Fitting, on about TRAIN_ROWS labelled rows drawn by a hash of the id: document frequencies of hashed features are counted by
 class on the executors and FEATURES of them with the largest chi-square are chosen; each training text is
-then reduced to the chosen features that it holds. For every sentence with an identity term, counterfactual sentences
+then reduced to the chosen features that it holds. For every mention of an identity term, counterfactual sentences
 have it swapped for the other terms of its group; the fit adds to the log loss LAMBDA times the mean squared change of the logit
-between a sentence and its counterfactuals. That drives the weights of neutral group mentions together and toward what they add themselves: nothing.
+between a sentence and its counterfactuals. The change depends on the features that only one of the two holds, a few of the two terms' own, so all
+pairs are counted by those on the executors, and the driver gets the distinct ones. That drives the weights of neutral group mentions together and toward what they add themselves: nothing.
 The fitted weights (one vector of BUCKETS floats, 1 MB) are broadcast and a batch is scored in numpy.
 
 Defined cases: a null, empty or blank text scores as the intercept says. Without labels of both classes the score is the prior
@@ -13,8 +14,8 @@ Defined cases: a null, empty or blank text scores as the intercept says. Without
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,6 @@ PREFIXES = (3, 4, 5, 6)
 FEATURES = 4096
 #: Expected number of labelled rows that the model is fitted on.
 TRAIN_ROWS = 20_000
-#: Counterfactual pairs that a training text adds at most; of more, those with the smallest hashes of sentence and swap.
-PAIRS_PER_TEXT = 16
 LAMBDA, RIDGE = 5.0, 1e-3
 #: Groups of identity terms that can stand for each other.
 IDENTITY = (
@@ -81,36 +80,42 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[0][found]), pa.array(total[1][found])], ["bucket", "clean", "toxic"])
 
 
-def counterfactuals(text: str) -> list[tuple[str, str]]:
-    """(sentence, the same with an identity term swapped), at most PAIRS_PER_TEXT of them."""
-    pairs = []
-    for found in _SENTENCE.finditer(text) if _TERM.search(text) else ():
-        sentence = found.group()
-        for m in _TERM.finditer(sentence):
-            pairs += [(sentence, sentence[: m.start()] + other + sentence[m.end() :]) for other in _SWAPS[m.group().lower()]]
-    # a stride would follow the order of the swaps and always take the same one
-    return pairs if len(pairs) <= PAIRS_PER_TEXT else sorted(pairs, key=lambda p: hashlib.md5("\0".join(p).encode("utf-8", "replace")).digest())[:PAIRS_PER_TEXT]
+def mentions(text: str) -> list[tuple[str, list[str]]]:
+    """(sentence, its identity terms in lower case) of every sentence that has one."""
+    found = ((x, [m.lower() for m in _TERM.findall(x) if m.isascii()]) for x in _SENTENCE.findall(text)) if _TERM.search(text) else ()
+    return [(x, terms) for x, terms in found if terms]
 
 
 def _reduced(batches, chosen: np.ndarray):
-    """Per training text its chosen features; per counterfactual pair the features of both sentences."""
+    """Per training text its chosen features; per counterfactual pair the chosen features of one sentence alone, and of the other alone."""
     flag = np.zeros(BUCKETS, bool)
     flag[chosen] = True
 
-    def held(texts):
-        out = [[] for _ in range(len(texts))]
+    def held(texts) -> list[Counter]:
+        out = [Counter() for _ in range(len(texts))]
         for first, _, rows, buckets in features(texts):
             some = flag[buckets]
-            for r, b in zip(*_present(rows[some], buckets[some]), strict=True):
-                out[first + r].append(int(b))
+            both, n = np.unique(rows[some] * BUCKETS + buckets[some], return_counts=True)
+            for r, b, k in zip(both // BUCKETS, both % BUCKETS, n, strict=True):
+                out[first + r][int(b)] = int(k)
         return out
 
+    own = dict(zip(_SWAPS, held(pa.array(list(_SWAPS), pa.string())), strict=True))
     for batch in batches:
         toxic, texts = batch.column(1).to_pylist(), batch.column(0)
-        pairs = [p for t in texts.to_pylist() if t for p in counterfactuals(t)]
-        a, b = (held(pa.array([p[i] for p in pairs], pa.string())) for i in (0, 1))
-        kept = held(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(toxic + [None] * len(a), pa.int32()), pa.array(kept + a, pa.list_(pa.int32())), pa.array([[]] * len(kept) + b, pa.list_(pa.int32()))], ["toxic", "a", "b"])
+        pairs = Counter()
+        for text in texts.to_pylist():
+            said = mentions(text or "")
+            for (_, terms), all_ in zip(said, held(pa.array([x for x, _ in said], pa.string())), strict=True):
+                for term, n in Counter(terms).items():
+                    # features of the term and of the swapped one that the rest of the sentence doesn't hold
+                    alone = {b for b, k in own[term].items() if all_[b] <= k}
+                    for other in _SWAPS[term]:
+                        fresh = {b for b in own[other] if b not in all_}
+                        pairs[tuple(sorted(alone - own[other].keys())), tuple(sorted(fresh))] += n
+        kept = [sorted(x) for x in held(texts)]
+        a, b = [list(p[0]) for p in pairs], [list(p[1]) for p in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(toxic + [None] * len(a), pa.int32()), pa.array(kept + a, pa.list_(pa.int32())), pa.array([[]] * len(kept) + b, pa.list_(pa.int32())), pa.array([1] * len(kept) + list(pairs.values()), pa.int64())], ["toxic", "a", "b", "n"])
 
 
 def _matrix(lists: list, place: dict):
@@ -119,9 +124,10 @@ def _matrix(lists: list, place: dict):
     return rows, cols
 
 
-def _fit(texts, toxic, pairs, place, strength: float, steps: int = 1000) -> tuple[np.ndarray, float]:
-    """Nesterov descent on log loss + ridge + strength * mean squared change of the logit under swaps."""
+def _fit(texts, toxic, pairs, weight, place, strength: float, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Nesterov descent on log loss + ridge + strength * mean squared change of the logit under swaps; weight says how often each pair occurs."""
     n, m, k = len(texts), len(pairs), len(place)
+    push = 2 * strength * np.array(weight, float) / max(1, sum(weight))
     r, c = _matrix(texts, place)
     ra, ca = _matrix([p[0] for p in pairs], place)
     rb, cb = _matrix([p[1] for p in pairs], place)
@@ -136,7 +142,7 @@ def _fit(texts, toxic, pairs, place, strength: float, steps: int = 1000) -> tupl
         h = 0.25 * per_class * (np.bincount(r, probe[c], n) + probe[k]) / n
         out = np.append(np.bincount(c, h[r], k) + RIDGE * probe[:k], h.sum())
         if m:
-            d = (np.bincount(ra, probe[ca], m) - np.bincount(rb, probe[cb], m)) * (2 * strength / m)
+            d = (np.bincount(ra, probe[ca], m) - np.bincount(rb, probe[cb], m)) * push
             out[:k] += np.bincount(ca, d[ra], k) - np.bincount(cb, d[rb], k)
         curve, probe = float(np.linalg.norm(out)), out
     rate = 1 / (1.1 * curve)
@@ -145,7 +151,7 @@ def _fit(texts, toxic, pairs, place, strength: float, steps: int = 1000) -> tupl
         g = per_class * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
         gw = np.bincount(c, g[r], k) + RIDGE * v
         if m:
-            d = (np.bincount(ra, v[ca], m) - np.bincount(rb, v[cb], m)) * (2 * strength / m)
+            d = (np.bincount(ra, v[ca], m) - np.bincount(rb, v[cb], m)) * push
             gw += np.bincount(ca, d[ra], k) - np.bincount(cb, d[rb], k)
         new, newb = v - rate * gw, vb - rate * g.sum()
         momentum = step / (step + 3)
@@ -171,11 +177,14 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, strength: float = LAM
     expected = (F.col("c") + F.col("t")) * bad / n
     chi = (F.col("t") - expected) * (F.col("t") - expected) / (expected * (1 - (F.col("c") + F.col("t")) / n) + 0.5)
     chosen = [r["bucket"] for r in freq.where("c + t >= 3").orderBy(chi.desc(), "bucket").limit(FEATURES).collect()]
-    rows = labelled.select("text", "toxic").mapInArrow(lambda b: _reduced(b, np.array(chosen, np.int64)), "toxic int, a array<int>, b array<int>").toArrow().to_pydict()
-    texts = [a for t, a in zip(rows["toxic"], rows["a"], strict=True) if t is not None]
-    pairs = [(a, b) for t, a, b in zip(rows["toxic"], rows["a"], rows["b"], strict=True) if t is None]
+    reduced = labelled.select("text", "toxic").mapInArrow(lambda b: _reduced(b, np.array(chosen, np.int64)), "toxic int, a array<int>, b array<int>, n long")
+    # texts as they are, FEATURES numbers each at most; of pairs the distinct ones, which the terms bound
+    rows = reduced.groupBy("toxic", "a", "b").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    rows = sorted(zip(rows["a"], rows["b"], rows["toxic"], rows["n"], strict=True), key=lambda x: (x[2] is None, *x))
+    texts = [(a, t) for a, _, t, n in rows if t is not None for _ in range(n)]
+    pairs = [(a, b, n) for a, b, t, n in rows if t is None]
     place = {b: i for i, b in enumerate(chosen)}
-    w, bias = _fit(texts, [t for t in rows["toxic"] if t is not None], pairs, place, strength)
+    w, bias = _fit([a for a, _ in texts], [t for _, t in texts], [p[:2] for p in pairs], [p[2] for p in pairs], place, strength)
     weights = np.zeros(BUCKETS, np.float32)
     weights[chosen] = w
     return ToxicityModel(weights, float(bias))

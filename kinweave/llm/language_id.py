@@ -87,8 +87,18 @@ class LanguageModel:
         self.labels, self.prior, self.matrix = labels, prior, matrix
 
 
+def _quota(sizes: list[int], rows: int) -> float:
+    """The rows that each language may have, so that rare ones keep theirs and all have `rows` together."""
+    left, sizes = rows, sorted(sizes)
+    for i, n in enumerate(sizes):
+        if n > left / (len(sizes) - i):
+            return left / (len(sizes) - i)
+        left -= n
+    return float(sizes[-1])
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", train_rows: int = TRAIN_ROWS, doc_id: str = "doc_id") -> LanguageModel:
-    """Fit on about train_rows of the rows with text and label, drawn by a hash of the id."""
+    """Fit on about train_rows of the rows with text and label, drawn by a hash of the id, as many of each language as it has or as the total allows."""
     ship(docs.sparkSession)
     usable = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     classes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -97,8 +107,9 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", train_rows: in
     labels, total = sorted(classes), sum(classes.values())
     if not labels:
         return LanguageModel([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
-    share = min(1.0, train_rows / total)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(round(share * 1_000_003)))
+    quota = _quota(list(classes.values()), train_rows)
+    cut = F.create_map(*[F.lit(x) for name, n in classes.items() for x in (name, round(min(1.0, quota / n) * 1_000_003))])
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(cut, F.col("label")))
     counted = sample.select("text", "label").mapInArrow(lambda b: _count_batches(b, "text", "label"), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.full((len(labels), BUCKETS), SMOOTHING)
     if counted.num_rows:

@@ -371,9 +371,34 @@ def test_toxicity_and_counterfactuals(spark):
     assert {r["predicted"] for r in toxicity.score(odd, none).collect()} == {0}
 
 
-def test_counterfactual_pairs():
-    pairs = toxicity.counterfactuals("The women came. Nothing here. A Muslim left.")
-    assert ("The women came", "The men came") in pairs and all(a != b for a, b in pairs) and toxicity.counterfactuals("plain") == []
+def test_counterfactual_pairs_equal_swapped_sentences():
+    """Every swap of every mention, however many a text holds, by writing each swapped sentence out."""
+    import pyarrow as pa
+
+    texts = ["The women came. Nothing here. A Muslim left.", "Black men, black cats and blackness; white-ish men! men", " ".join(f"Sentence {i} names the men here." for i in range(40)), "", None, "straight \u017ftraight gays", "women " * 3000]
+    held = lambda x: {int(b) for *_, buckets in toxicity.features(pa.array([x])) for b in buckets}
+    chosen = sorted({b for t in [x for x in texts if x] + sum(map(list, toxicity.IDENTITY), []) for b in held(t)})[::2]
+    want = Counter()
+    for text in texts[:-1]:
+        for sentence in re.findall(r"[^.!?\n]+", text or ""):
+            for m in re.finditer(r"\b\w+\b", sentence):
+                for group in toxicity.IDENTITY:
+                    for other in group:
+                        if m.group().lower() in group and other != m.group().lower():
+                            a, b = (held(x) & set(chosen) for x in (sentence, sentence[: m.start()] + other + sentence[m.end() :]))
+                            want[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+    n = len(want), sum(want.values())
+    assert n[0] > 10 and n[1] > 120
+    for other in ("men", "girls", "boys"):  # 3,000 mentions in one sentence: the others keep the term's own features there
+        b = held("women " * 3 + other) - held("women ")
+        want[(), tuple(sorted(b & set(chosen)))] += 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())], ["text", "toxic"])
+    (out,) = toxicity._reduced([batch], np.array(chosen, np.int64))
+    got = Counter()
+    for r in out.to_pylist():
+        if r["toxic"] is None:
+            got[tuple(r["a"]), tuple(r["b"])] += r["n"]
+    assert got == want
 
 
 # --- 4 -------------------------------------------------------------------------------------------------------------------
@@ -678,8 +703,9 @@ def test_hnsw_graph_recall_before_widening():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true, strict=True)]) > 0.9
 
 
-def test_long_texts_train_all_swaps():
-    text = " ".join(f"Sentence {i} names the men here." for i in range(16))
-    pairs = toxicity.counterfactuals(text)
-    assert len(pairs) == toxicity.PAIRS_PER_TEXT and pairs == toxicity.counterfactuals(text)
-    assert {w for _, other in pairs for w in ("women", "girls", "boys") if f" {w} " in other} == {"women", "girls", "boys"}
+def test_rare_languages_keep_their_training_rows(spark):
+    assert language_id._quota([5, 1000, 3000], 105) == 50 and language_id._quota([5, 6], 100) == 6.0
+    texts = ["der hund und die katze"] * 600 + ["le chien et le chat"] * 6
+    model = language_id.fit(make(spark, texts, langs=["de"] * 600 + ["fr"] * 6), train_rows=60)
+    rows = language_id.predict(make(spark, ["le chien noir", "die kleine katze"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["fr", "de"]

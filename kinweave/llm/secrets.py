@@ -25,7 +25,7 @@ from .common import Scratch, table
 
 _END = r"\s\"'`<>(){}\[\],;"
 #: After an assignment any value; elsewhere a run with a letter and a digit.
-CANDIDATE = rf"(?<=[=:] ?[\"'`]?)(?<![^{_END}=:])[^{_END}]++|(?<![^{_END}=:])(?=[^{_END}=:0-9]*+[0-9])(?=[^{_END}=:\p{{L}}]*+\p{{L}})[^{_END}=:]++"
+CANDIDATE = rf"(?<![^{_END}=:])(?:(?<=[=:] ?[\"'`]?)[^{_END}]++|(?=[^{_END}=:0-9]*+[0-9])(?=[^{_END}=:\p{{L}}]*+\p{{L}})[^{_END}=:]++)"
 #: Whole words beside a candidate that count as its neighbours.
 WORDS_BESIDE = 4
 #: Words that the dictionary takes from the corpus: those that the most documents hold, in a table that is broadcast.

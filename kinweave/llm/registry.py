@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hnsw, language_id, linededup, minhash, mixing, secrets, sharding, surrogates, toxicity
+from . import annulus, decontaminate, hnsw, language_id, linededup, minhash, mixing, secrets, sharding, spelling, surrogates, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_pii": surrogates.op10_pii,
+        "op11_topk": topk.op11_topk,
+        "op12_clustering": annulus.op12_clustering,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL, "op6_hnsw": hnsw.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {
+        "op4_line_dedup": linededup.OP4_SQL,
+        "op6_hnsw": hnsw.OP6_SQL,
+        "op8_minhash": minhash.OP8_SQL,
+        "op9_decontamination": decontaminate.OP9_SQL,
+        "op11_topk": topk.OP11_SQL,
+        "op12_clustering": annulus.OP12_SQL,
+        "op13_spelling": spelling.OP13_SQL,
+    }

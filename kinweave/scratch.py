@@ -36,12 +36,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str | None = None) -> None:
-        """Delete the tables of that name, or all."""
+    def drop(self, name: str | None = None, but: tuple[str, ...] = ()) -> None:
+        """Delete the tables of that name, or all; those named in `but` stay."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(conf)
         for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/*")) or []:
             path = status.getPath()
-            if name is None or path.getName().split("-", 1)[1] == name:
+            own = path.getName().split("-", 1)[1]
+            if own not in but and name in (None, own):
                 fs.delete(path, True)

@@ -65,7 +65,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int =
     own = F.coalesce(*[F.when(F.col("length") == n, F.col(f"m{n}")[0]) for n in lengths], F.lit(None).cast("long"))
     keys = scratch.keep(marks(windows, lengths, window, gram).select(own.alias("m"), "length").distinct(), "keys")
     # a window's minimum recurs over its neighbours; grams of one length seldom do
-    every = F.concat(F.array("row"), *[F.array_distinct(f"m{n}") if n == window else F.col(f"m{n}") for n in lengths])
+    every = F.concat(F.array(F.xxhash64("row")), *[F.array_distinct(f"m{n}") if n == window else F.col(f"m{n}") for n in lengths])
     # splitting a text into words is the dearest step: one pass gives a first row with the words' number, and a row for each fingerprint that is hit
     split = docs.select("doc_id", "row", words(F.col("text")).alias("ws"))
     found = marks(split, lengths, window, gram).select("doc_id", "row", F.size("ws").cast("long").alias("n_words"), F.posexplode(every).alias("pos", "m"))
@@ -96,9 +96,14 @@ def covered(spots: Column) -> Column:
     return F.aggregate(spots, start, step, lambda acc: acc["n"])
 
 
+def row_of() -> Column:
+    """128 bits that name a text of an id: two hashes that begin with different columns, for 64 bits repeat among 10**10 rows."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit("b")).alias("b"))
+
+
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """row = xxhash64(doc_id, text) of the documents that hold a window of the benchmark."""
-    docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    """row = row_of() of the documents that hold a window of the benchmark."""
+    docs = docs.select("doc_id", "text").withColumn("row", row_of())
     return hits(docs, benchmark, scratch)[0].select("row").distinct()
 
 
@@ -106,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and row of every row of docs."""
     scratch = scratch or Scratch(docs.sparkSession, "winnow")
     # rows of one doc_id and one text are alike; `row` names a text of an id
-    docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = docs.select("doc_id", "text").withColumn("row", row_of())
     found, owners, counts = hits(docs, benchmark, scratch)
     found = scratch.keep(found.distinct(), "found")
     n_hit = found.groupBy("row").agg(covered(F.array_sort(F.collect_set(F.struct("at", "length")))).cast("long").alias("n_hit"))

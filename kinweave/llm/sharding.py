@@ -22,6 +22,8 @@ from .common import Scratch, numbered, table
 SHARDS = 16
 #: First ranges. Some five times as many splitters are the most that is sent to the driver, whatever the input.
 RANGES = 4096
+#: Rows of a shard that are written together.
+SLICE = 100_000
 #: Sampled keys for each range that a round wants.
 OVERSAMPLE = 16
 
@@ -99,15 +101,21 @@ def assign(records: DataFrame, scratch: Scratch, shards: int = SHARDS, key_of: t
 
 def shard(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of documents."""
-    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    placed = assign(slim, scratch or Scratch(docs.sparkSession, "shard"), shards)
+    placed = assign(docs.select(*_slim()), scratch or Scratch(docs.sparkSession, "shard"), shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents into folders shard=0 ..; every row of an id goes where that id's first slot is."""
-    places = shard(docs, shards).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("place"))
-    docs.join(places, "doc_id").withColumn("shard", F.col("place.shard")).repartition(F.col("shard"), F.xxhash64("doc_id") % 8).sortWithinPartitions("shard", "place.slot").drop("place").write.partitionBy("shard").parquet(path)
+def _slim() -> list[Column]:
+    return ["doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")]
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, scratch: Scratch | None = None) -> None:
+    """Write whole documents, every row by itself whatever its id, into folders __shard=0 .., each file in the order of slots."""
+    scratch = scratch or Scratch(docs.sparkSession, "write")
+    rows = numbered(docs, scratch, "__row")
+    placed = assign(rows.select("__row", *_slim()), scratch, shards).select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    out = rows.join(placed, "__row").repartition(F.col("__shard"), F.floor(F.col("__slot") / SLICE)).sortWithinPartitions("__shard", "__slot")
+    out.drop("__row", "__slot").write.partitionBy("__shard").parquet(path)
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

@@ -190,8 +190,8 @@ def replace_pii(docs: DataFrame, key: str, scratch: Scratch | None = None) -> Da
     """doc_id, n_entities and text with surrogates of every row of docs (doc_id and text); whoever knows the key can tell the originals."""
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    # the texts are searched once; the row's hash names a text with entities
-    docs = scratch.keep(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(found, F.array().cast("array<string>")).alias("found")), "found")
+    # the texts are searched once, and rows numbered as they are written
+    docs = scratch.keep(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.coalesce(found, F.array().cast("array<string>")).alias("found")), "found")
     some = docs.where(F.size("found") > 0)
     mentions = some.select("row", F.posexplode("found").alias("pos", "surface")).distinct().withColumn("kind", kind_of(F.col("surface"))).withColumn("form", canonical(F.col("kind"), F.col("surface")))
     mentions = scratch.keep(mentions, "mentions")

@@ -103,3 +103,10 @@ def test_stages_take_empty_documents(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0
+
+
+def test_stages_can_be_composed_before_any_is_run(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    chained = stage("decontaminate")(spark, stage("near_dedup")(spark, docs, corpus), corpus)
+    other = stage("mix")(spark, docs, corpus)
+    assert chained.count() > 0 and other.count() > 0 and chained.count() == chained.select("doc_id").count()

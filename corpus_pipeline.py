@@ -10,6 +10,8 @@ documents; the last returns the place of each kept row.
   the schedule plays at least half of it. Its rows are written in the order of the schedule's slots.
 - shard gives each row its shard and slot by nearly equal bytes.
 
+A stage drops what its result doesn't read; the tables that it reads stay with the application, so stages can be composed before any is run.
+
 Rows count by themselves, not by id: rows that repeat an id and rows with a null id stay or go by their own texts.
 """
 
@@ -24,16 +26,6 @@ from kinweave.llm.common import Scratch, held_out, numbered, table
 
 MIN_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_open: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """A stage's scratch tables; those of the stage before, whose result has been written by now, go."""
-    for old in _open:
-        if old.spark is spark:
-            old.drop()
-    _open[:] = [Scratch(spark, name)]
-    return _open[0]
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,28 +36,33 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = _scratch(spark, "dedup")
+    scratch = Scratch(spark, "dedup")
     rows = numbered(docs.select(*COLUMNS), scratch)
     found = minhash.near_duplicates(rows.select(F.col("uid").alias("doc_id"), "text"), scratch=scratch).select(F.col("doc_id").alias("uid"), "component_id")
     found = scratch.keep(found.join(rows.select("uid", "doc_id"), "uid"), "found")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
-    return rows.join(first.select("first.uid"), "uid", "left_semi").select(*COLUMNS)
+    first = scratch.keep(first.select("first.uid"), "kept")
+    scratch.drop(but=("numbered", "kept"))
+    return rows.join(first, "uid", "left_semi").select(*COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    touched = winnow.contaminated_rows(docs, table(spark, sf_dir, "benchmark"), _scratch(spark, "winnow"))
-    return docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text")).join(touched, "row", "left_anti").select(*COLUMNS)
+    scratch = Scratch(spark, "winnow")
+    touched = scratch.keep(winnow.contaminated_rows(docs, table(spark, sf_dir, "benchmark"), scratch), "touched")
+    scratch.drop(but=("touched",))
+    return docs.select(*COLUMNS).withColumn("row", winnow.row_of()).join(touched, "row", "left_anti").select(*COLUMNS)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = _scratch(spark, "mix")
+    scratch = Scratch(spark, "mix")
     rows = numbered(docs.select(*COLUMNS), scratch)
     played = scratch.keep(mixing.played(rows, "uid", scratch), "played")
+    scratch.drop(but=("numbered", "played"))
     return rows.join(played, "uid").repartitionByRange("slot", "uid").sortWithinPartitions("slot", "uid", "epoch").select(*COLUMNS)
 
 
 def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, scratch=_scratch(spark, "shard"))
+    return sharding.shard(docs, scratch=Scratch(spark, "shard"))
 
 
 STAGES = [

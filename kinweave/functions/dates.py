@@ -37,8 +37,8 @@ def form(date: Column) -> Column:
 
 
 def similarity(year_a: Column, year_b: Column, precision_a: Column, precision_b: Column, equal_month: Column | None = None, equal_day: Column | None = None, soft: int = 5, most: int = 10) -> Column:
-    """1 to 0: equal years by the smaller precision, then by steps of the difference."""
+    """1 to 0: equal years by the smaller precision (years alone 0.90, other months 0.85, equal months 0.95, equal days 1), then by steps of the difference."""
     equal_month, equal_day = (F.lit(True) if x is None else x for x in (equal_month, equal_day))
     gap, least = F.abs(year_a - year_b), F.least(precision_a, precision_b)
-    same = F.when(least == 0, 0.85).when(least == 1, F.when(equal_month, 0.95).otherwise(0.90)).when(equal_month & equal_day, 1.0).when(equal_month, 0.95).otherwise(0.90)
+    same = F.when(least == 0, 0.90).when(~equal_month, 0.85).when((least == 2) & equal_day, 1.0).otherwise(0.95)
     return F.when(gap == 0, same).when(gap == 1, 0.80).when(gap <= 2, 0.60).when(gap <= min(soft, most), 0.40).when(gap <= most, 0.20).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ..shipping import ship
 
 
 def jaro_winkler(a: str | None, b: str | None) -> float | None:
-    """The prefix has no limit; its weight is the smaller of 0.1 and 1 / longer length, and counts above 0.7."""
+    """The prefix has no limit; its weight is the smaller of 0.1 and 1 / longer length, and counts above 0.7. Of an odd number of moved letters the half is rounded down."""
     if a is None or b is None:
         return None
     if a == b:
@@ -28,12 +30,16 @@ def jaro_winkler(a: str | None, b: str | None) -> float | None:
                 break
     if not hits:
         return 0.0
-    moved = sum(x != y for x, y in zip(hits, (c for c, t in zip(long, taken, strict=True) if t), strict=True)) / 2
+    moved = sum(x != y for x, y in zip(hits, (c for c, t in zip(long, taken, strict=True) if t), strict=True)) // 2
     jaro = (len(hits) / len(a) + len(hits) / len(b) + (len(hits) - moved) / len(hits)) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(short))
     return jaro + min(0.1, 1 / len(long)) * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
+#: Workers keep what they have compared.
+cached = lru_cache(1 << 18)(jaro_winkler)
+
+
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """df with the similarity of two columns; each distinct pair is compared once, in Arrow batches."""
 

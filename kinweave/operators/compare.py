@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ KIN = {"father": 0.4, "mother": 0.4, "spouse": 0.3, "child": 0.2, "sibling": 0.1
 SAME = 0.8
 TEXTS = ("first", "middle", "nickname", "last", "maiden", "gender", "birth_place", "father_id", "mother_id")
 LISTS = ("variants", "spouse_ids", "child_ids", "sibling_ids")
+FIELDS = ("first", "last", "maiden", "birth", "place", "death")
 YEARS = tuple(f"{event}_{part}" for event in ("birth", "death") for part in ("year", "month", "day"))
 
 
@@ -33,14 +35,17 @@ def people(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     none = lambda c, t: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)
     blank = lambda c: F.nullif(F.trim(none(c, "string")), F.lit(""))
     rows = df.select(F.col("id").cast("string").alias("id"), *[blank(c).alias(c) for c in TEXTS], *[F.coalesce(none(c, "array<string>"), F.array()).alias(c) for c in LISTS], *[none(c, "int").alias(c) for c in YEARS])
-    rows = rows.withColumns({"norm_first": names.normalize(F.col("first")), "norm_last": names.normalize(F.col("last")), "norm_maiden": names.comparison_form(F.col("maiden")), "gender": F.coalesce("gender", F.lit("Unknown"))})
+    rows = rows.withColumns({"norm_first": normal(F.col("first")), "norm_last": normal(F.col("last")), "norm_maiden": names.comparison_form(F.col("maiden")), "gender": F.coalesce("gender", F.lit("Unknown"))})
     named = rows if known is None else people_names(known)
     one = lambda kind: F.when(F.col(f"{kind}_id").isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("other")))).otherwise(F.array())
     many = lambda kind: F.transform(F.col(f"{kind}_ids"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("other")))
     links = rows.select("id", F.posexplode(F.concat(one("father"), one("mother"), many("spouse"), many("child"), many("sibling"))).alias("pos", "k")).select("id", "pos", "k.*")
     who = named.select(F.col("id").alias("other"), F.lit(True).alias("known"), F.col("norm_first").alias("f"), F.coalesce("norm_last", "norm_maiden").alias("l"))
     kin = links.join(who, "other", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "other", F.coalesce("known", F.lit(False)).alias("known"), "f", "l"))).alias("kin"))
-    return rows.join(kin, "id", "left")
+    return rows.withColumns(tokens()).join(kin, "id", "left")
+
+
+normal = names.normalize
 
 
 def people_names(df: DataFrame) -> DataFrame:
@@ -56,61 +61,77 @@ def _dictionary() -> Column:
     return F.from_json(F.lit(json.dumps(linked)), "map<string,array<string>>")
 
 
-def equivalent(a: Column, b: Column, listed: bool = True) -> Column:
-    """Equal names, or (listed) names that the dictionary of given names links, as they are or transliterated."""
-    low = lambda x: F.lower(F.trim(x))
-    latin = lambda x: names.normalize(x)
-    linked = lambda x, y: F.coalesce(F.array_contains(F.element_at(_dictionary(), x), y), F.lit(False))
-    same = (low(a) == low(b)) | (latin(a) == latin(b))
-    return same | linked(low(a), low(b)) | linked(latin(a), latin(b)) if listed else same
+def _marked(name: Column) -> Column:
+    """A name as it is compared: in lower case and normalised, apart from each other."""
+    return F.array(F.concat(F.lit("l:"), F.lower(F.trim(name))), F.concat(F.lit("n:"), normal(name)))
+
+
+def _linked(name: Column) -> Column:
+    """The dictionary's names for it, marked alike."""
+    found = lambda mark, x: F.transform(F.coalesce(F.element_at(_dictionary(), x), F.array().cast("array<string>")), lambda y: F.concat(F.lit(mark), y))
+    return F.concat(found("l:", F.lower(F.trim(name))), found("n:", normal(name)))
+
+
+TOKENS = ("first_own", "first_linked", "all_own", "all_linked", "born", "place", "place_words")
+
+
+def tokens() -> dict[str, Column]:
+    """What pairs compare of people(), made once for each person instead of once for each pair.
+
+    Two names are equivalent if they, or their normalised forms, are equal or linked by the dictionary: own names against own and linked ones.
+    """
+    every = F.filter(F.concat(F.array("first", "nickname", "middle"), F.col("variants")), lambda x: F.length(x) > 0)
+    some = lambda f, xs: F.array_distinct(F.filter(F.flatten(F.transform(xs, f)), lambda x: x.isNotNull()))
+    place = names.normalize_place(F.col("birth_place"))
+    return {
+        "first_own": some(_marked, F.array("first")), "first_linked": some(_linked, F.array("first")), "all_own": some(_marked, every), "all_linked": some(_linked, every),
+        "born": normal(F.col("maiden")), "place": place, "place_words": F.array_distinct(F.filter(F.transform(F.split(place, "[, ]"), F.trim), lambda t: F.length(t) > 2)),
+    }
 
 
 def alike(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity in Arrow batches; a batch compares equal pairs once."""
+    """Jaro-Winkler similarity in Arrow batches: 1 for equal names without Python, and each distinct pair of a batch once."""
 
     @F.pandas_udf("double")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        memo: dict = {}
-        return pd.Series([memo[p] if p in memo else memo.setdefault(p, similarity.jaro_winkler(*p)) for p in zip(x, y, strict=True)], dtype="float64")
+        codes, pairs = pd.factorize(x + "\n" + y)  # a null in either is no pair
+        values = np.array([similarity.cached(*p.split("\n", 1)) for p in pairs] + [np.nan])
+        return pd.Series(values[codes])
 
-    return compare(a, b)
+    return F.when(a == b, 1.0).otherwise(compare(F.when(a != b, a), F.when(a != b, b)))
 
 
 def first_ladder(jw: Column) -> Column:
-    """Equal forms 1, dictionary 0.95, any two of the given names and nicknames 0.90, a first word in common 1, 0.90 or 0.85, else the similarity."""
+    """Equal forms 1, dictionary 0.95, any two of the given names and nicknames 0.90, else the similarity, at least 0.85 for a contained name above 0.7.
+
+    A normalised name has no blanks, so a rule for its first word has nothing to tell apart.
+    """
     a, b = F.col("s_norm_first"), F.col("d_norm_first")
-    every = lambda p: F.filter(F.concat(F.array(f"{p}_first", f"{p}_nickname", f"{p}_middle"), F.col(f"{p}_variants")), lambda x: F.length(x) > 0)
-    some = F.exists(every("s"), lambda x: F.exists(every("d"), lambda y: F.coalesce(equivalent(x, y), F.lit(False))))
-    words = lambda p: F.split(names.comparison_form(F.col(f"{p}_first")), "[ -]+")
-    apart = F.abs(F.size(words("s")) - F.size(words("d")))
-    led = F.when((F.size(words("s")) == 1) & (apart == 0), 1.0).when(apart == 1, 0.90).otherwise(0.85)
+    meet = lambda c: F.arrays_overlap(f"s_{c}_own", f"d_{c}_own") | F.arrays_overlap(f"s_{c}_linked", f"d_{c}_own")
     inside = (a.contains(b) | b.contains(a)) & (jw > 0.7)
-    ladder = F.when(a == b, 1.0).when(equivalent(F.col("s_first"), F.col("d_first")), 0.95).when(some, 0.90).when(F.get(words("s"), F.lit(0)) == F.get(words("d"), F.lit(0)), led)
+    ladder = F.when(a == b, 1.0).when(meet("first"), 0.95).when(meet("all"), 0.90)
     return F.when(a.isNotNull() & b.isNotNull(), ladder.when(inside, F.greatest(jw, F.lit(0.85))).otherwise(jw))
 
 
 def last_ladder(jw: Column) -> Column:
-    """Equal forms 1, a maiden name 0.95, dictionary 0.90, else the similarity; a maiden name in place of a missing surname 1, a missing one 0.3."""
+    """Equal forms 1, a maiden name 0.95, else the similarity; a maiden name in place of a missing surname 1, a missing one 0.3."""
     a, b, ma, mb = (F.col(c) for c in ("s_norm_last", "d_norm_last", "s_norm_maiden", "d_norm_maiden"))
     born = F.coalesce(ma == b, F.lit(False)) | F.coalesce(mb == a, F.lit(False))
     counted = (a.isNotNull() & b.isNotNull()) | (ma.isNotNull() & b.isNotNull()) | (a.isNotNull() & mb.isNotNull())
     short = F.when((a.isNull() & F.coalesce(ma == b, F.lit(False))) | (b.isNull() & F.coalesce(mb == a, F.lit(False))), 1.0).otherwise(0.3)
-    whole = F.when(a == b, 1.0).when(born, 0.95).when(equivalent(F.col("s_last"), F.col("d_last"), listed=False), 0.90).otherwise(jw)
-    return F.when(counted, F.when(a.isNull() | b.isNull(), short).otherwise(whole))
+    return F.when(counted, F.when(a.isNull() | b.isNull(), short).when(a == b, 1.0).when(born, 0.95).otherwise(jw))
 
 
 def maiden_ladder(jw: Column) -> Column:
     a, b = F.col("s_norm_maiden"), F.col("d_norm_maiden")
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 1.0).when(equivalent(F.col("s_maiden"), F.col("d_maiden"), listed=False), 0.95).otherwise(jw))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 1.0).when(F.coalesce(F.col("s_born") == F.col("d_born"), F.lit(False)), 0.95).otherwise(jw))
 
 
-def places(a: Column, b: Column) -> Column:
+def places() -> Column:
     """Equal 1, contained 0.8, else the common share of words longer than two letters."""
-    x, y = names.normalize_place(a), names.normalize_place(b)
-    words = lambda p: F.array_distinct(F.filter(F.transform(F.split(p, "[, ]"), F.trim), lambda t: F.length(t) > 2))
-    both = F.size(F.array_union(words(x), words(y)))
-    share = F.when((F.size(words(x)) > 0) & (F.size(words(y)) > 0), F.size(F.array_intersect(words(x), words(y))) / both).otherwise(0.0)
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(share))
+    x, y, a, b = (F.col(c) for c in ("s_place", "d_place", "s_place_words", "d_place_words"))
+    share = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    return F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(share))
 
 
 def event(name: str) -> Column:
@@ -181,27 +202,62 @@ def _families() -> Column:
 
 def fields(pairs: DataFrame) -> DataFrame:
     """pairs has every column of people() as s_ and d_; adds first_sim, last_sim, maiden_sim, birth_sim, place_sim, death_sim (null: not compared) and fam."""
+    return with_families(own_fields(pairs))
+
+
+def with_families(pairs: DataFrame) -> DataFrame:
+    """pairs with fam, from s_kin and d_kin; who has no relatives isn't sent to Python."""
+    ship(pairs.sparkSession)
+    none = F.struct(F.lit(0.0).alias("family"), F.lit(False).alias("parents"), F.lit(False).alias("whole"))
+    return pairs.withColumn("fam", F.when(F.col("s_kin").isNull() & F.col("d_kin").isNull(), none).otherwise(_families()))
+
+
+def own_fields(pairs: DataFrame) -> DataFrame:
+    """As fields(), but without relatives; s_kin and d_kin aren't needed."""
     ship(pairs.sparkSession)
     jw = {f"__{c}": alike(F.col(f"s_norm_{c}"), F.col(f"d_norm_{c}")) for c in ("first", "last", "maiden")}
-    pairs = pairs.withColumns(jw | {"fam": _families()})
-    return pairs.withColumns({
+    return pairs.withColumns(jw).withColumns({
         "first_sim": first_ladder(F.col("__first")), "last_sim": last_ladder(F.col("__last")), "maiden_sim": maiden_ladder(F.col("__maiden")),
-        "birth_sim": event("birth"), "place_sim": places(F.col("s_birth_place"), F.col("d_birth_place")), "death_sim": event("death"),
+        "birth_sim": event("birth"), "place_sim": places(), "death_sim": event("death"),
     }).drop(*jw)
 
 
+def _shares(w: dict) -> dict:
+    return {"first": w["first"], "last": w["last"], "maiden": w["last"] * MAIDEN_SHARE, "birth": w["birth"], "place": w["place"], "death": w["death"]}
+
+
+def _same_gender() -> Column:
+    """An unknown gender is no mismatch."""
+    return (F.col("s_gender") == F.col("d_gender")) | (F.col("s_gender") == "Unknown") | (F.col("d_gender") == "Unknown")
+
+
+def _points(w: dict, family: Column) -> tuple[Column, Column]:
+    """Points, and the points that were possible: those of the fields that both have, of gender and of relatives."""
+    shares = _shares(w)
+    points = sum((F.coalesce(F.col(f"{c}_sim") * x, F.lit(0.0)) for c, x in shares.items()), F.when(_same_gender(), float(w["gender"])).otherwise(0.0) + family * w["family"])
+    return points, sum((F.when(F.col(f"{c}_sim").isNotNull(), float(x)).otherwise(0.0) for c, x in shares.items()), F.lit(float(w["gender"] + w["family"])))
+
+
+def most_possible(relatives: Column, weights: dict | None = None) -> Column:
+    """The largest score that pairs with own_fields() can have, whatever their relatives are: if both have some (relatives), all agree and give both bonuses."""
+    points, most = _points(WEIGHTS | (weights or {}), F.when(relatives, 1.0).otherwise(0.0))
+    return F.when(most > 0, 100 * points / most).otherwise(0.0) + F.when(relatives, 20).otherwise(0)
+
+
 def scored(pairs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """src_id, dst_id, score and reasons (field, points) of pairs with fields()."""
+    """src_id, dst_id, score and reasons (field, points) of pairs with fields().
+
+    Reasons name every field that both have, a mismatch of genders, relatives, the bonuses of parents and of whole families, and what the cap took.
+    """
     w = WEIGHTS | (weights or {})
-    shares = {"first": w["first"], "last": w["last"], "maiden": w["last"] * MAIDEN_SHARE, "birth": w["birth"], "place": w["place"], "death": w["death"]}
-    same = (F.col("s_gender") == F.col("d_gender")) & (F.col("s_gender") != "Unknown")
-    family = F.col("fam.family")
-    points = sum((F.coalesce(F.col(f"{c}_sim") * x, F.lit(0.0)) for c, x in shares.items()), F.when(same, float(w["gender"])).otherwise(0.0) + family * w["family"])
-    most = sum((F.when(F.col(f"{c}_sim").isNotNull(), float(x)).otherwise(0.0) for c, x in shares.items()), F.lit(float(w["gender"] + w["family"])))
+    family, (points, most) = F.col("fam.family"), _points(w, F.col("fam.family"))
     score = F.when(most > 0, 100 * points / most).otherwise(0.0) + F.when(F.col("fam.parents"), 10.0).otherwise(0.0) + F.when(F.col("fam.whole"), 10.0).otherwise(0.0)
-    if w["family"] > 0:
-        score = F.when((family < 0.1) & (score > 85), 85.0).otherwise(score)
-    reasons = F.filter(F.array(*[F.when(F.col(f"{c}_sim") > 0, F.struct(F.lit(c).alias("field"), (F.col(f"{c}_sim") * x).alias("points"))) for c, x in shares.items()]), lambda r: r.isNotNull())
+    capped = (family < 0.1) & (score > 85) & F.lit(w["family"] > 0)
+    said = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("field"), value.cast("double").alias("points")))
+    reasons = [said(F.col(f"{c}_sim").isNotNull(), c, F.col(f"{c}_sim") * x) for c, x in _shares(w).items()]
+    reasons += [said(~_same_gender(), "gender", F.lit(-w["gender"])), said(family > 0, "family", family * w["family"]), said(F.col("fam.parents"), "both_parents", F.lit(10)), said(F.col("fam.whole"), "whole_family", F.lit(10)), said(capped, "no_family", 85 - score)]
+    reasons = F.filter(F.array(*reasons), lambda r: r.isNotNull())
+    score = F.when(capped, 85.0).otherwise(score)
     return pairs.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), reasons.alias("reasons"))
 
 
@@ -210,3 +266,71 @@ def paired(pairs: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     side = lambda df, p: df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
     keyed = pairs.select(F.col("src_id").cast("string").alias("s_id"), F.col("dst_id").cast("string").alias("d_id"))
     return keyed.join(side(src, "s"), "s_id").join(side(dst, "d"), "d_id")
+
+
+class Scorer:
+    """The score of one pair in Python, by the rules of scored(), for walks that ask for pairs as they go. A person: a mapping of the columns of people()."""
+
+    def __init__(self, weights: dict | None = None):
+        self.weights = WEIGHTS | (weights or {})
+
+    def first(self, s, d) -> float | None:
+        a, b = s["norm_first"], d["norm_first"]
+        if a is None or b is None:
+            return None
+        if a == b:
+            return 1.0
+        for rank, kind in ((0.95, "first"), (0.90, "all")):
+            if not set(d[f"{kind}_own"]).isdisjoint([*s[f"{kind}_own"], *s[f"{kind}_linked"]]):
+                return rank
+        found = similarity.cached(a, b)
+        return max(found, 0.85) if (a in b or b in a) and found > 0.7 else found
+
+    @staticmethod
+    def last(s, d) -> float | None:
+        a, b, born_a, born_b = s["norm_last"], d["norm_last"], s["norm_maiden"], d["norm_maiden"]
+        if a is None or b is None:
+            if (b is not None and born_a is not None) or (a is not None and born_b is not None):
+                return 1.0 if (a is None and born_a == b) or (b is None and born_b == a) else 0.3
+            return None
+        return 1.0 if a == b else 0.95 if b == born_a or a == born_b else similarity.cached(a, b)
+
+    @staticmethod
+    def maiden(s, d) -> float | None:
+        a, b = s["norm_maiden"], d["norm_maiden"]
+        if a is None or b is None:
+            return None
+        return 1.0 if a == b else 0.95 if s["born"] is not None and s["born"] == d["born"] else similarity.cached(a, b)
+
+    @staticmethod
+    def event(s, d, name: str) -> float | None:
+        (ya, ma, da), (yb, mb, db) = (tuple(p[f"{name}_{x}"] for x in ("year", "month", "day")) for p in (s, d))
+        if ya is None or yb is None:
+            return None
+        gap = abs(ya - yb)
+        if gap:
+            return next((x for most, x in ((1, 0.8), (2, 0.6), (5, 0.4), (10, 0.2)) if gap <= most), 0.0)
+        if ma is None or mb is None:
+            return 0.9
+        return 0.85 if ma != mb else 1.0 if da is not None and da == db else 0.95
+
+    @staticmethod
+    def place(s, d) -> float | None:
+        x, y = s["place"], d["place"]
+        if x is None or y is None:
+            return None
+        if x == y or x in y or y in x:
+            return 1.0 if x == y else 0.8
+        a, b = set(s["place_words"]), set(d["place_words"])
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    def __call__(self, s, d) -> float:
+        found = {"first": self.first(s, d), "last": self.last(s, d), "maiden": self.maiden(s, d), "birth": self.event(s, d, "birth"), "place": self.place(s, d), "death": self.event(s, d, "death")}
+        rows = [[] if p["kin"] is None else [(k["kind"], k["other"], k["known"], k["f"], k["l"]) for k in p["kin"]] for p in (s, d)]
+        family, parents, whole = family_of(*rows)
+        shares, w = _shares(self.weights), self.weights
+        same = "Unknown" in (s["gender"], d["gender"]) or s["gender"] == d["gender"]
+        points = sum(shares[c] * x for c, x in found.items() if x is not None) + w["gender"] * same + w["family"] * family
+        most = sum(shares[c] for c, x in found.items() if x is not None) + w["gender"] + w["family"]
+        score = (100 * points / most if most else 0.0) + 10 * parents + 10 * whole
+        return 85.0 if w["family"] > 0 and family < 0.1 and score > 85 else max(0.0, min(100.0, score))

@@ -1,142 +1,64 @@
-"""Pair scoring and matching: blocking, a weighted score of comparable fields, the best candidate of each source."""
+"""Matching: candidates by block keys, the whole score of each, the best and the k best of every source."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, similarity, variants
+from ..scratch import Scratch
+from . import blocking, compare
 
-#: Points of a field that agrees fully.
-FIRST, LAST, BIRTH, GENDER, FAMILY = 25, 20, 15, 2, 25
-HARD_YEARS = 15
 
+def trees(src: DataFrame, dst: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both trees with a person's every column, kin and block keys, written once."""
+    whole = lambda df: compare.people(df).withColumn("keys", blocking.keys()).withColumn("has_kin", F.col("kin").isNotNull())
+    return scratch.keep(whole(src), "src"), scratch.keep(whole(dst), "dst")
 
-def candidates(src: DataFrame, dst: DataFrame, on: Column | None = None) -> DataFrame:
-    """Pairs of genders that don't clash and birth years that aren't known to be more than HARD_YEARS apart; surnames don't matter. `on` is a further condition.
 
-    The year is a range condition: people with known years meet in buckets of its width, and those without meet all of the other side.
-    A null gender is unknown. A maiden column is optional.
-    """
-    width = HARD_YEARS + 1
-
-    def side(df, p):
-        df = df if "maiden" in df.columns else df.withColumn("maiden", F.lit(None).cast("string"))
-        named = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "first", "last", "maiden", "gender", "birth_year")])
-        named = named.withColumn(f"{p}_gender", F.coalesce(f"{p}_gender", F.lit("Unknown")))
-        return named.withColumns({f"{p}_norm_{c}": names.normalize(F.col(f"{p}_{c}")) for c in ("first", "last", "maiden")})
+def scored_pairs(src: DataFrame, dst: DataFrame, pairs: DataFrame | None = None, least: float = 0.0, weights: dict | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """src_id, dst_id, score and reasons of the pairs (by default those that share a block) with the score least or more.
 
-    left, right, s_year, d_year = side(src, "s"), side(dst, "d"), F.col("s_birth_year"), F.col("d_birth_year")
-    known = (F.col("s_gender") != "Unknown") & (F.col("d_gender") != "Unknown")
-    fit = ~(known & (F.col("s_gender") != F.col("d_gender")))
-    fit = fit if on is None else fit & on
-    spread = left.where(s_year.isNotNull()).withColumn("s_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(s_year / width) + k)))
-    dated = spread.join(right.withColumn("d_bucket", F.floor(d_year / width)), (F.col("s_bucket") == F.col("d_bucket")) & (F.abs(s_year - d_year) <= HARD_YEARS) & fit).drop("s_bucket", "d_bucket")
-    return dated.unionByName(left.where(s_year.isNull()).join(right, fit)).unionByName(left.where(s_year.isNotNull()).join(right.where(d_year.isNull()), fit))
+    Relatives, the dear part, are compared for pairs alone that could still reach `least` with all relatives alike.
+    """
+    scratch = scratch or Scratch(src.sparkSession, "link")
+    left, right = trees(src, dst, scratch)
+    found = blocking.candidates(left, right) if pairs is None else pairs
+    rows = compare.own_fields(compare.paired(found, left.drop("kin", "keys"), right.drop("kin", "keys")))
+    if least > 0:
+        rows = rows.where(compare.most_possible(F.col("s_has_kin") & F.col("d_has_kin"), weights) >= least)
+    # ids and similarities are written, so that the similarities are taken once
+    rows = scratch.keep(rows.select("s_id", "d_id", "s_gender", "d_gender", *[f"{c}_sim" for c in compare.FIELDS]), "sims")
+    kin = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("kin").alias(f"{p}_kin"))
+    rows = compare.with_families(rows.join(kin(left, "s"), "s_id").join(kin(right, "d"), "d_id"))
+    kinds = [x.schema["id"].dataType for x in (src, dst)]
+    out = compare.scored(rows, weights).where(F.col("score") >= least)
+    return out.withColumns({c: F.col(c).cast(t) for c, t in zip(("src_id", "dst_id"), kinds, strict=True)})
 
 
-def same_last() -> Column:
-    """The rule of the SQL that pair queries are compared with: people of one normalised surname only."""
-    return F.col("s_norm_last") == F.col("d_norm_last")
+def best_matches(src: DataFrame, dst: DataFrame, least: float = 60.0, pairs: DataFrame | None = None) -> DataFrame:
+    """The best target of each source with the score least or more; ties go to the smaller id. Each task sends one row a source."""
+    best = scored_pairs(src, dst, pairs, least).groupBy("src_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "dst_id")).alias("b"))
+    return best.select("src_id", F.col("b.dst_id").alias("dst_id"), (-F.col("b.s")).alias("score"))
 
 
-def first_names(pairs: DataFrame) -> DataFrame:
-    """Adds first_sim: equal forms 1, dictionary 0.95, else string similarity, at least 0.85 for a contained name above 0.7."""
-    a, b = F.col("s_norm_first"), F.col("d_norm_first")
-    known = variants.builtin(pairs.sparkSession)
-    low = pairs.withColumns({"la": F.lower("s_first"), "lb": F.lower("d_first")})
-    # the dictionary is of a fixed size
-    marked = low.join(F.broadcast(known.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.lit(True).alias("raw"))), ["la", "lb"], "left").join(F.broadcast(known.select(F.col("a").alias("s_norm_first"), F.col("b").alias("d_norm_first"), F.lit(True).alias("latin"))), ["s_norm_first", "d_norm_first"], "left")
-    open_ = (a != b) & F.col("raw").isNull() & F.col("latin").isNull()
-    scored = similarity.with_similarity(marked.withColumns({"__x": F.when(open_, a), "__y": F.when(open_, b)}), "__x", "__y", "jw")
-    inside = (a.contains(b) | b.contains(a)) & (F.col("jw") > 0.7)
-    return scored.withColumn("first_sim", F.when(a == b, 1.0).when(~open_, 0.95).when(inside, F.greatest("jw", F.lit(0.85))).otherwise(F.col("jw"))).drop("la", "lb", "raw", "latin", "__x", "__y", "jw")
+#: Candidates of a source that are put in order together.
+PART = 512
 
 
-def last_names(pairs: DataFrame, surnames: DataFrame | None = None) -> DataFrame:
-    """Adds last_sim: equal forms 1, maiden name 0.95, dictionary (surnames: edges a, b) 0.90, else string similarity.
+def top_matches(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The k best targets of each source for review: src_id, rank, dst_id, score. scored has src_id, dst_id and score; ties go to the smaller id.
 
-    A missing surname gives 1 if the maiden name in its place equals the other's surname and 0.3 if it doesn't, null without one.
+    A source's candidates meet in parts of about PART, each keeps k, and the parts fold together until one is left: nothing is sorted or gathered whole.
     """
-    a, b, ma, mb = (F.col(c) for c in ("s_norm_last", "d_norm_last", "s_norm_maiden", "d_norm_maiden"))
-    if surnames is None:
-        pairs = pairs.withColumn("listed", F.lit(False))
-    else:
-        edges = surnames.select("a", "b").union(surnames.select("b", "a")).distinct()
-        raw, latin = (edges.select(F.col("a").alias(x), F.col("b").alias(y), F.lit(True).alias(m)) for x, y, m in (("la", "lb", "raw"), ("s_norm_last", "d_norm_last", "latin")))
-        pairs = pairs.withColumns({"la": F.lower(F.trim("s_last")), "lb": F.lower(F.trim("d_last"))}).join(raw, ["la", "lb"], "left").join(latin, ["s_norm_last", "d_norm_last"], "left")
-        pairs = pairs.withColumn("listed", F.col("raw").isNotNull() | F.col("latin").isNotNull())
-    born = F.coalesce(ma == b, F.lit(False)) | F.coalesce(mb == a, F.lit(False))
-    open_ = (a != b) & ~born & ~F.col("listed")
-    scored = similarity.with_similarity(pairs.withColumns({"__x": F.when(open_, a), "__y": F.when(open_, b)}), "__x", "__y", "jw")
-    one = F.when(born, 1.0).when((a.isNull() & ma.isNotNull() & b.isNotNull()) | (b.isNull() & mb.isNotNull() & a.isNotNull()), 0.3)
-    return scored.withColumn("last_sim", F.when(a.isNull() | b.isNull(), one).when(a == b, 1.0).when(born, 0.95).when(F.col("listed"), 0.90).otherwise(F.col("jw"))).drop("la", "lb", "raw", "latin", "listed", "__x", "__y", "jw")
-
-
-def score(first_sim: Column, last_sim: Column, birth_sim: Column, same_gender: Column, family_sim: Column | None = None) -> Column:
-    """Points over the points possible; gender and family always count. A null similarity leaves its field out."""
-    family_sim = F.lit(0.0) if family_sim is None else family_sim
-    points = F.coalesce(FIRST * first_sim, F.lit(0.0)) + F.coalesce(LAST * last_sim, F.lit(0.0)) + F.coalesce(BIRTH * birth_sim, F.lit(0.0)) + F.when(same_gender, GENDER).otherwise(0) + FAMILY * family_sim
-    most = F.when(first_sim.isNotNull(), FIRST).otherwise(0) + F.when(last_sim.isNotNull(), LAST).otherwise(0) + F.when(birth_sim.isNotNull(), BIRTH).otherwise(0) + GENDER + FAMILY
-    raw = 100 * points / most
-    return F.least(F.greatest(F.when((family_sim < 0.1) & (raw > 85), 85.0).otherwise(raw), F.lit(0.0)), F.lit(100.0))
-
-
-def scored_pairs(src: DataFrame, dst: DataFrame, on: Column | None = None, surnames: DataFrame | None = None) -> DataFrame:
-    """src_id, dst_id and score of all candidates, or of those that `on` (over s_ and d_ columns) lets in."""
-    pairs = last_names(first_names(candidates(src, dst, on)), surnames)
-    birth = F.when(F.col("s_birth_year").isNotNull() & F.col("d_birth_year").isNotNull(), dates.similarity(F.col("s_birth_year"), F.col("d_birth_year"), F.lit(0), F.lit(0)))
-    return pairs.select(F.col("s_id").alias("src_id"), F.col("d_id").alias("dst_id"), score(F.col("first_sim"), F.col("last_sim"), birth, F.col("s_gender") == F.col("d_gender")).alias("score"))
-
-
-class Comparer:
-    """The score of one pair of people in Python, with the rule of scored_pairs. A person: (first, norm_first, last, norm_last, norm_maiden, gender, birth_year)."""
-
-    def __init__(self, given: set | None = None, surnames: set | None = None):
-        self.given = set(variants.edges()) if given is None else given
-        self.surnames = surnames or set()
-        self.memo: dict[tuple, float] = {}
-
-    def alike(self, a: str, b: str) -> float:
-        if (a, b) not in self.memo:
-            self.memo[a, b] = similarity.jaro_winkler(a, b)
-        return self.memo[a, b]
-
-    def first(self, raw_a, a, raw_b, b) -> float | None:
-        if a is None or b is None:
-            return None
-        if a == b:
-            return 1.0
-        if (raw_a.lower(), raw_b.lower()) in self.given or (a, b) in self.given:
-            return 0.95
-        jw = self.alike(a, b)
-        return max(jw, 0.85) if (a in b or b in a) and jw > 0.7 else jw
-
-    def last(self, raw_a, a, born_a, raw_b, b, born_b) -> float | None:
-        born = (born_a is not None and born_a == b) or (born_b is not None and born_b == a)
-        if a is None or b is None:
-            shown = (a is None and born_a is not None and b is not None) or (b is None and born_b is not None and a is not None)
-            return 1.0 if born else 0.3 if shown else None
-        if a == b:
-            return 1.0
-        if born:
-            return 0.95
-        raw = (raw_a.lower().strip(), raw_b.lower().strip())
-        return 0.90 if {raw, raw[::-1], (a, b), (b, a)} & self.surnames else self.alike(a, b)
-
-    def __call__(self, s: tuple, d: tuple) -> float:
-        fields = [(FIRST, self.first(s[0], s[1], d[0], d[1])), (LAST, self.last(*s[2:5], *d[2:5]))]
-        if s[6] is not None and d[6] is not None:
-            gap = abs(s[6] - d[6])
-            fields.append((BIRTH, next((x for most, x in ((0, 0.85), (1, 0.8), (2, 0.6), (5, 0.4), (10, 0.2)) if gap <= most), 0.0)))
-        points = sum(w * x for w, x in fields if x is not None) + (GENDER if s[5] is not None and s[5] == d[5] else 0)
-        return min(100 * points / (sum(w for w, x in fields if x is not None) + GENDER + FAMILY), 85.0)
-
-
-def best_matches(src: DataFrame, dst: DataFrame, least: float = 60.0, on: Column | None = None) -> DataFrame:
-    """The best target of each source with the score least or more; ties go to the smaller id."""
-    best = scored_pairs(src, dst, on).where(F.col("score") >= least).groupBy("src_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "dst_id")).alias("b"))
-    return best.select("src_id", F.col("b.dst_id").alias("dst_id"), F.round(-F.col("b.s"), 6).alias("score"))
+    largest = scored.groupBy("src_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    parts, fan = -(-largest // PART), max(2, PART // max(k, 1))
+    left = scored.select("src_id", F.pmod(F.xxhash64("dst_id"), F.lit(max(1, parts))).alias("part"), F.struct((-F.col("score")).alias("s"), "dst_id").alias("o"))
+    while True:
+        best = left.groupBy("src_id", "part").agg(F.slice(F.array_sort(F.collect_list("o")), 1, k).alias("o"))
+        if parts <= 1:
+            return best.select("src_id", F.posexplode("o").alias("p", "e")).select("src_id", (F.col("p") + 1).alias("rank"), F.col("e.dst_id").alias("dst_id"), (-F.col("e.s")).alias("score"))
+        left = best.select("src_id", F.floor(F.col("part") / fan).alias("part"), F.explode("o").alias("o"))
+        parts = -(-parts // fan)
 
 
 def exclusivity(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tree alignment from an anchor, level by level over families.
 
-The order of visits decides who is mapped, so the walk of one anchor is sequential. It scores the members of two families that it
-holds against each other when it meets them, all of them and whatever their surnames are, or takes scores that are given. Each anchor is one group of the grouped walk.
+The order of visits decides who is mapped, so the walk of one pair of trees is sequential. It takes the whole score of the members of two families when it meets
+them, or scores that are given. Many walks run side by side: each pair of trees is a group of its own.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
 from ..shipping import ship
-from . import linkage
+from . import compare
 
 SPOUSE, CHILD = 50, {1: 45, 2: 50, 3: 55, 4: 55, 5: 60, 6: 60, 7: 60, 8: 60}
 
@@ -64,8 +63,8 @@ def _candidate(f, g, a: Tree, b: Tree, mapped: dict, score) -> int | None:
     return int(0.4 * total + 0.6 * open_[0]) if open_ else total
 
 
-def _propose(f, g, a: Tree, b: Tree, mapped: dict, score) -> list[tuple]:
-    taken, out = set(mapped.values()), []
+def _propose(f, g, a: Tree, b: Tree, mapped: dict, taken: set, score) -> list[tuple]:
+    out = []
     for s, d in zip(f, g, strict=True):
         if s in a.person and d in b.person and s not in mapped and score(s, d) >= SPOUSE:
             out.append((s, d, int(score(s, d)), "Spouse"))
@@ -90,11 +89,11 @@ def _propose(f, g, a: Tree, b: Tree, mapped: dict, score) -> list[tuple]:
     return out
 
 
-def _valid(s, d, a: Tree, b: Tree, mapped: dict) -> bool:
+def _valid(s, d, a: Tree, b: Tree, taken: set) -> bool:
     (gs, ys), (gd, yd) = a.person[s], b.person[d]
     clash = gs != "Unknown" and gd != "Unknown" and gs != gd
     far = ys is not None and yd is not None and abs(ys - yd) > 15
-    return not clash and not far and d not in mapped.values()
+    return not clash and not far and d not in taken
 
 
 def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> list[tuple]:
@@ -105,7 +104,7 @@ def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> lis
         if s in a.person and d in b.person:
             mapped[s] = d
             rows.append((s, d, 100, 0, "Anchor"))
-    queue, processed = deque((s, 0) for s in mapped), set(mapped)
+    queue, processed, taken = deque((s, 0) for s in mapped), set(mapped), set(mapped.values())
     while queue:
         s, level = queue.popleft()
         if s not in mapped:
@@ -117,12 +116,13 @@ def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> lis
                 if best[0] <= 0:
                     continue
                 left, hit = a.members(f), False
-                for m, d, points, via in _propose(f, best[1], a, b, dict(mapped), score):
+                for m, d, points, via in _propose(f, best[1], a, b, mapped, taken, score):
                     if m in processed:
                         left.remove(m)
                         hit = True
-                    elif _valid(m, d, a, b, mapped):
+                    elif _valid(m, d, a, b, taken):
                         mapped[m] = d
+                        taken.add(d)
                         rows.append((m, d, points, level + 1, via))
                         queue.append((m, level + 1))
                         processed.add(m)
@@ -137,39 +137,50 @@ def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> lis
     return rows
 
 
-def align(src: DataFrame, dst: DataFrame, scores: DataFrame | None, anchors: DataFrame) -> DataFrame:
-    """src_id, dst_id, score, level and found_via. src, dst: id, gender, birth_year, father_id, mother_id; scores and anchors: src_id, dst_id (and score).
+#: What a walk knows of a person.
+PERSON = ("norm_first", "norm_last", "norm_maiden", "gender", *compare.YEARS, *compare.TOKENS, "kin")
 
-    Without scores src and dst also have first and last (and maiden), and the walk scores each pair that it asks for.
-    """
-    none = lambda t: F.lit(None).cast(t)
-    texts = ("first", "norm_first", "last", "norm_last", "norm_maiden")
 
-    def person(df, side):
-        for c in ("first", "last", "maiden"):
-            df = df if c in df.columns else df.withColumn(c, none("string"))
-        named = [F.col("first"), names.normalize(F.col("first")).alias("norm_first"), F.col("last"), names.normalize(F.col("last")).alias("norm_last"), names.normalize(F.col("maiden")).alias("norm_maiden")]
-        return df.select(F.lit(side).alias("kind"), "id", none("long").alias("other"), "gender", F.col("birth_year").cast("double").alias("x"), F.col("father_id").cast("double").alias("f"), F.col("mother_id").cast("double").alias("m"), *named)
+def align(src: DataFrame, dst: DataFrame, scores: DataFrame | None, anchors: DataFrame) -> DataFrame:
+    """src_id, dst_id, score, level and found_via of every walk. src, dst: the columns of compare.people(), those that are there; scores and anchors: src_id, dst_id (and score).
 
-    link = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.col("src_id").alias("id"), F.col("dst_id").alias("other"), none("string").alias("gender"), value.cast("double").alias("x"), none("double").alias("f"), none("double").alias("m"), *[none("string").alias(c) for c in texts])
-    rows = person(src, "src").unionByName(person(dst, "dst")).unionByName(link(anchors, "anchor", F.lit(0)))
+    Where src, dst, anchors (and scores) all have a column walk, each of its values is a pair of trees by itself and a group of its own; else all is one walk.
+    Without scores the walk takes the whole score of each pair that it asks for.
+    """
+    spark = ship(src.sparkSession)
     given = scores is not None
+    frames = [src, dst, anchors, *([scores] if given else [])]
+    by_walk = all("walk" in x.columns for x in frames)
+    walk_of = lambda df: (F.col("walk").cast("long") if by_walk else F.lit(0).cast("long")).alias("walk")
+    ids = lambda df, *cs: [F.col(c).cast("long").alias(c) for c in cs]
+
+    def side(df: DataFrame, kind: str) -> DataFrame:
+        who = compare.people(df)
+        rows = df.select(walk_of(df), *ids(df, "id", "father_id", "mother_id"))
+        return rows.join(who.select(F.col("id").cast("long").alias("id"), *PERSON), "id").withColumn("kind", F.lit(kind))
+
+    link = lambda df, kind, score: df.select(walk_of(df), F.lit(kind).alias("kind"), F.col("src_id").cast("long").alias("id"), F.col("dst_id").cast("long").alias("other"), score.cast("double").alias("points"))
+    rows = side(src, "src").unionByName(side(dst, "dst")).unionByName(link(anchors, "anchor", F.lit(0)), allowMissingColumns=True)
     if given:
-        rows = rows.unionByName(link(scores, "score", F.col("score")))
+        rows = rows.unionByName(link(scores, "score", F.col("score")), allowMissingColumns=True)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         whole = lambda v: None if pd.isna(v) else int(v)
-        text = lambda v: None if pd.isna(v) else v
+        plain = lambda v: v if not pd.api.types.is_scalar(v) else None if pd.isna(v) else v
         people, named = {}, {}
-        for side in ("src", "dst"):
-            of = list(block[block.kind == side].itertuples())
-            people[side] = [(int(r.id), text(r.gender) or "Unknown", whole(r.x), whole(r.f), whole(r.m)) for r in of]
-            named[side] = {int(r.id): (*(text(getattr(r, c)) for c in texts), text(r.gender) or "Unknown", whole(r.x)) for r in of}
-        known = {(int(r.id), int(r.other)): float(r.x) for r in block[block.kind == "score"].itertuples()}
-        compare = linkage.Comparer()
-        score = (lambda s, d: known.get((s, d), 0.0)) if given else (lambda s, d: compare(named["src"][s], named["dst"][d]))
+        for kind in ("src", "dst"):
+            named[kind] = {}
+            for r in block[block.kind == kind].to_dict("records"):
+                who = {c: plain(r[c]) for c in PERSON}
+                who |= {c: whole(r[c]) for c in compare.YEARS}
+                named[kind][int(r["id"])] = who | {"parents": (whole(r["father_id"]), whole(r["mother_id"]))}
+            people[kind] = [(i, p["gender"], p["birth_year"], *p["parents"]) for i, p in named[kind].items()]
+        known = {(int(r.id), int(r.other)): float(r.points) for r in block[block.kind == "score"].itertuples()}
+        scorer = compare.Scorer()
+        score = (lambda s, d: known.get((s, d), 0.0)) if given else (lambda s, d: scorer(named["src"][s], named["dst"][d]))
         start = sorted((int(r.id), int(r.other)) for r in block[block.kind == "anchor"].itertuples())
-        return pd.DataFrame(walk(people["src"], people["dst"], score, start), columns=["src_id", "dst_id", "score", "level", "found_via"])
+        found = pd.DataFrame(walk(people["src"], people["dst"], score, start), columns=["src_id", "dst_id", "score", "level", "found_via"])
+        return found.assign(walk=block.walk.iloc[0])
 
-    ship(src.sparkSession)
-    return rows.withColumn("walk", F.lit(0)).groupBy("walk").applyInPandas(run, "src_id long, dst_id long, score int, level int, found_via string")
+    out = rows.groupBy("walk").applyInPandas(run, "walk long, src_id long, dst_id long, score int, level int, found_via string")
+    return out if by_walk else out.drop("walk")

@@ -69,7 +69,7 @@ def _more_sql(table: str, more: dict) -> str:
 
 def _event_sql(a: str, b: str) -> str:
     gap = f"abs({a} - {b})"
-    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {gap} = 0 THEN 0.85 WHEN {gap} = 1 THEN 0.8 WHEN {gap} <= 2 THEN 0.6 WHEN {gap} <= 5 THEN 0.4 WHEN {gap} <= 10 THEN 0.2 ELSE 0.0 END::DOUBLE"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {gap} = 0 THEN 0.9 WHEN {gap} = 1 THEN 0.8 WHEN {gap} <= 2 THEN 0.6 WHEN {gap} <= 5 THEN 0.4 WHEN {gap} <= 10 THEN 0.2 ELSE 0.0 END::DOUBLE"
 
 
 def pair_fields_sql() -> str:

@@ -13,14 +13,25 @@ p AS (
     CASE WHEN r IN (2,3,4) THEN blk * 7 WHEN r = 6 THEN blk * 7 + 2 WHEN r = 1 AND blk > 0 THEN CAST(FLOOR((blk - 1) / 4.0) AS BIGINT) * 7 END AS father_id,
     CASE WHEN r IN (2,3,4) THEN blk * 7 + 1 WHEN r = 6 THEN blk * 7 + 5 WHEN r = 1 AND blk > 0 THEN CAST(FLOOR((blk - 1) / 4.0) AS BIGINT) * 7 + 1 END AS mother_id
   FROM k
-), fn(i, cyr, lat) AS (VALUES (0,'Иван','Ivan'),(1,'Мария','Maria'),(2,'Пётр','Peter'),(3,'Анна','Anna'),(4,'Сергей','Sergei'),(5,'Ольга','Olga'),(6,'Николай','Nikolay')),
-ln(j, cyr, lat) AS (VALUES (0,'Иванов','Ivanov'),(1,'Петров','Petrov'),(2,'Шевченко','Shevchenko'),(3,'Чайковский','Chaikovskiy'),(4,'Сидоров','Sidorov')),
+), fn(g, i, cyr, lat) AS (VALUES ('Male',0,'Иван','Ivan'),('Male',1,'Пётр','Peter'),('Male',2,'Николай','Nikolay'),('Male',3,'Сергей','Sergei'),('Male',4,'Александр','Alexander'),('Male',5,'Михаил','Mikhail'),('Male',6,'Григорий','Grigory'),('Male',7,'Тимофей','Timofey'),
+  ('Female',0,'Мария','Maria'),('Female',1,'Анна','Anna'),('Female',2,'Ольга','Olga'),('Female',3,'Елена','Helen'),('Female',4,'Ирина','Irina'),('Female',5,'Софья','Sofia'),('Female',6,'Марина','Marina'),('Female',7,'Зинаида','Zinaida')),
+s1(i, cyr, lat) AS (VALUES (0,'Ива','Iva'),(1,'Пет','Pet'),(2,'Сидо','Sido'),(3,'Моро','Moro'),(4,'Бело','Belo'),(5,'Куз','Kuz'),(6,'Лаз','Laz'),(7,'Гро','Gro'),(8,'Тара','Tara'),(9,'Шере','Shere')),
+s2(i, cyr, lat) AS (VALUES (0,'н','n'),(1,'ра','ra'),(2,'ми','mi'),(3,'де','de'),(4,'бо','bo'),(5,'ле','le'),(6,'ту','tu'),(7,'го','go'),(8,'са','sa'),(9,'ви','vi')),
+s3(i, cyr, lat) AS (VALUES (0,'ов','ov'),(1,'ров','rov'),(2,'нин','nin'),(3,'ский','skiy'),(4,'енко','enko'),(5,'лев','lev'),(6,'дин','din'),(7,'ков','kov'),(8,'цкий','tskiy'),(9,'шин','shin')),
+named AS (
+  SELECT p.id, p.blk, p.r, p.gender, p.birth_year, p.father_id, p.mother_id, fn.cyr AS fc, fn.lat AS fl, s1.cyr || s2.cyr || s3.cyr AS lc, s1.lat || s2.lat || s3.lat AS ll
+  FROM p JOIN fn ON fn.i = MOD(p.blk * 5 + p.r * 3, 8) AND fn.g = CASE WHEN p.r IN (0,2,4,6) THEN 'Male' ELSE 'Female' END
+  JOIN s1 ON s1.i = MOD(p.blk * 7, 10) JOIN s2 ON s2.i = MOD(CAST(FLOOR(p.blk / 3.0) AS BIGINT), 10) JOIN s3 ON s3.i = MOD(CAST(FLOOR(p.blk / 11.0) AS BIGINT) + p.blk, 10)
+),
 persons AS (
-  SELECT p.id, p.blk, p.r, p.gender, p.birth_year, p.father_id, p.mother_id,
-    CASE WHEN MOD(p.id, 3) = 0 THEN fn.cyr ELSE fn.lat END AS src_first, CASE WHEN MOD(p.id, 3) = 0 THEN ln.cyr ELSE ln.lat END AS src_last,
-    fn.lat AS dst_first, ln.lat AS dst_last
-  FROM p JOIN fn ON fn.i = p.r JOIN ln ON ln.j = MOD(p.blk, 5)
+  SELECT id, blk, r, gender, birth_year, father_id, mother_id,
+    CASE WHEN MOD(id, 3) = 0 THEN fc ELSE fl END AS src_first,
+    CASE WHEN MOD(id, 3) = 0 THEN lc WHEN MOD(id, 17) = 5 THEN SUBSTR(ll, 1, 4) || SUBSTR(ll, 6) ELSE ll END AS src_last,
+    CASE WHEN MOD(id, 19) = 7 THEN SUBSTR(fl, 1, 2) || SUBSTR(fl, 4) ELSE fl END AS dst_first, CASE WHEN MOD(id, 23) = 9 THEN SUBSTR(ll, 1, 3) || 'e' || SUBSTR(ll, 4) ELSE ll END AS dst_last
+  FROM named
 )"""
+#: Every thirteenth person of the source has no year of birth.
+SRC_YEAR = "CASE WHEN MOD(id, 13) <> 5 THEN birth_year END"
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +40,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persons(spark, sf_dir).selectExpr("id", "src_first AS first", "src_last AS last", "gender", "birth_year", "father_id", "mother_id")
+    return persons(spark, sf_dir).selectExpr("id", "src_first AS first", "src_last AS last", "gender", f"{SRC_YEAR} AS birth_year", "father_id", "mother_id")
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +50,7 @@ def target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(body: str) -> str:
     """A query over persons, src and dst for the oracle."""
-    trees = """, src AS (SELECT id, src_first AS first, src_last AS last, gender, birth_year, father_id, mother_id FROM persons),
+    trees = f""", src AS (SELECT id, src_first AS first, src_last AS last, gender, {SRC_YEAR} AS birth_year, father_id, mother_id FROM persons),
 dst AS (SELECT id, dst_first AS first, dst_last AS last, gender, birth_year + CASE WHEN MOD(id, 5) = 0 THEN 1 ELSE 0 END AS birth_year, father_id, mother_id FROM persons WHERE MOD(id, 11) <> 10)
 """
     return f"WITH RECURSIVE {PERSONS.format(customer='customer')}{trees} {body}"

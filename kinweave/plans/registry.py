@@ -62,25 +62,63 @@ def _same_id(spark, d) -> DataFrame:
     return fixture.target(spark, d).select(F.col("id").alias("src_id"), F.col("id").alias("dst_id"), F.lit(80.0).alias("score"))
 
 
+def kin_sql(n: str) -> str:
+    """1, 0.5 or 0 for a relative of both sides by (first, last); a side without the relative, or without its names, gives 0."""
+    first, last = jw_sql(f"s{n}f", f"d{n}f"), jw_sql(f"s{n}l", f"d{n}l")
+    both = f"(({first}) + ({last})) / 2"
+    return f"CASE WHEN s{n}f IS NULL OR d{n}f IS NULL OR ({first}) < 0.8 THEN 0.0 WHEN s{n}l IS NULL OR d{n}l IS NULL THEN CASE WHEN ({first}) >= 0.9 THEN 1.0 ELSE 0.5 END WHEN {both} >= 0.85 THEN 1.0 WHEN {both} >= 0.7 THEN 0.5 ELSE 0.0 END"
+
+
+def _side_sql(p: str, tree: str) -> str:
+    parent = lambda n, c: f"LEFT JOIN (SELECT id AS {p}{n}i, {norm_sql('first')} AS {p}{n}f, {norm_sql('last')} AS {p}{n}l FROM {tree}) {n} ON {n}.{p}{n}i = t.{c}"
+    return f"SELECT t.id AS {p}id, lower(first) AS {p}raw, {norm_sql('first')} AS {p}a, {norm_sql('last')} AS {p}b, gender AS {p}g, birth_year AS {p}y, father_id AS {p}fa, mother_id AS {p}mo, {p}ff, {p}fl, {p}mf, {p}ml, {p}fi IS NOT NULL AS {p}fk, {p}mi IS NOT NULL AS {p}mk FROM {tree} t {parent('f', 'father_id')} {parent('m', 'mother_id')}"
+
+
+def _parent_sql(n: str, c: str) -> str:
+    """Agreement of a parent: by names where both trees hold it, else by id; null where neither side has one."""
+    return f"CASE WHEN s{c} IS NULL AND d{c} IS NULL THEN NULL WHEN s{c} IS NULL OR d{c} IS NULL THEN 0.0 WHEN s{n}k AND d{n}k THEN k{n} WHEN s{c} = d{c} THEN 1.0 ELSE 0.0 END"
+
+
 PAIRS_SQL = f"""
-, {EDGES_SQL}, s AS (SELECT *, {norm_sql('first')} AS nf, {norm_sql('last')} AS nl FROM src), d AS (SELECT *, {norm_sql('first')} AS nf, {norm_sql('last')} AS nl FROM dst),
-c AS (
-  SELECT s.id AS src_id, d.id AS dst_id, s.nf AS a, d.nf AS b, abs(s.birth_year - d.birth_year) AS gap, s.gender = d.gender AS same,
-    EXISTS (SELECT 1 FROM v WHERE (v.a = lower(s.first) AND v.b = lower(d.first)) OR (v.a = s.nf AND v.b = d.nf)) AS known
-  FROM s JOIN d ON s.nl = d.nl AND abs(s.birth_year - d.birth_year) <= 15 AND NOT (s.gender <> 'Unknown' AND d.gender <> 'Unknown' AND s.gender <> d.gender)
-), f AS (SELECT *, {jw_sql('a', 'b')} AS jw FROM c),
-g AS (
-  SELECT src_id, dst_id, 100.0 * (25 * CASE WHEN a = b THEN 1.0 WHEN known THEN 0.95 WHEN (contains(a, b) OR contains(b, a)) AND jw > 0.7 THEN greatest(jw, 0.85) ELSE jw END
-    + 20 + 15 * CASE WHEN gap = 0 THEN 0.85 WHEN gap = 1 THEN 0.8 WHEN gap <= 2 THEN 0.6 WHEN gap <= 5 THEN 0.4 WHEN gap <= 10 THEN 0.2 ELSE 0 END + CASE WHEN same THEN 2 ELSE 0 END) / 87 AS score FROM f
-)"""
+, {EDGES_SQL}, s AS MATERIALIZED ({_side_sql('s', 'src')}), d AS MATERIALIZED ({_side_sql('d', 'dst')}),
+n AS MATERIALIZED (
+  SELECT *, {jw_sql('x', 'y')} AS j FROM (SELECT DISTINCT s.sa AS x, d.da AS y FROM s, d) UNION SELECT *, {jw_sql('x', 'y')} FROM (SELECT DISTINCT s.sb AS x, d.db AS y FROM s, d)
+), eq AS MATERIALIZED (SELECT DISTINCT sraw, sa, draw, da FROM (SELECT DISTINCT sraw, sa FROM s), (SELECT DISTINCT draw, da FROM d) WHERE EXISTS (SELECT 1 FROM v WHERE (v.a = sraw AND v.b = draw) OR (v.a = sa AND v.b = da))),
+q AS MATERIALIZED (
+  SELECT s.*, d.*, f.j AS fj, l.j AS lj, eq.sa IS NOT NULL AS known, abs(sy - dy) AS gap,
+    sg = dg OR sg = 'Unknown' OR dg = 'Unknown' AS same
+  FROM s JOIN d ON NOT (sg <> 'Unknown' AND dg <> 'Unknown' AND sg <> dg) AND NOT coalesce(abs(sy - dy) > 15, false)
+  JOIN n f ON f.x = s.sa AND f.y = d.da JOIN n l ON l.x = s.sb AND l.y = d.db
+  LEFT JOIN eq ON eq.sraw = s.sraw AND eq.sa = s.sa AND eq.draw = d.draw AND eq.da = d.da
+), o AS MATERIALIZED (
+  SELECT *, CASE WHEN sa = da THEN 1.0 WHEN known THEN 0.95 WHEN (contains(sa, da) OR contains(da, sa)) AND fj > 0.7 THEN greatest(fj, 0.85) ELSE fj END * 25 + lj * 20
+    + CASE WHEN gap IS NULL THEN 0.0 WHEN gap = 0 THEN 0.9 WHEN gap = 1 THEN 0.8 WHEN gap <= 2 THEN 0.6 WHEN gap <= 5 THEN 0.4 WHEN gap <= 10 THEN 0.2 ELSE 0.0 END * 15 + 2 AS points,
+    CASE WHEN gap IS NULL THEN 72.0 ELSE 87.0 END AS most FROM q
+), kk AS (SELECT *, {kin_sql('f')} AS kf, {kin_sql('m')} AS km FROM o WHERE 100 * (points + 25) / most + 20 >= 45),
+w AS (SELECT *, {_parent_sql('f', 'fa')} AS pf, {_parent_sql('m', 'mo')} AS pm FROM kk),
+h AS (
+  SELECT *, CASE WHEN pf IS NULL AND pm IS NULL THEN 0.0 ELSE coalesce((coalesce(pf, 0.0) + coalesce(pm, 0.0)) / ((pf IS NOT NULL)::INT + (pm IS NOT NULL)::INT), 0.0) END AS family,
+    coalesce(sfk AND dfk AND smk AND dmk AND kf >= 0.8 AND km >= 0.8, false) AS parents FROM w
+), r AS (SELECT sid AS src_id, did AS dst_id, family, 100 * (points + 25 * family) / most + CASE WHEN parents THEN 10 ELSE 0 END AS raw FROM h),
+g AS (SELECT src_id, dst_id, least(100.0, CASE WHEN family < 0.1 AND raw > 85 THEN 85.0 ELSE raw END) AS score FROM r)"""
+#: The least score of a best match, and of the pairs in pair_scores, top_matches and exclusivity.
+FOUND, SURE = 60, 90
+
+
+def _found(spark, d) -> DataFrame:
+    return linkage.scored_pairs(*_trees(spark, d), least=SURE).select("src_id", "dst_id", "score")
 
 
 def q_pair_scores(spark, d):
-    return linkage.scored_pairs(*_trees(spark, d), on=linkage.same_last()).groupBy("src_id").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
+    return _found(spark, d).groupBy("src_id").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best"))
+
+
+def q_top(spark, d):
+    return linkage.top_matches(_found(spark, d).withColumn("score", F.round("score", 6)), 3).withColumn("score", F.round("score", 6))
 
 
 def q_exclusivity(spark, d):
-    return linkage.exclusivity(linkage.scored_pairs(*_trees(spark, d), on=linkage.same_last()).where("score >= 50")).where("exclusivity > 0")
+    return linkage.exclusivity(_found(spark, d)).where("exclusivity > 0")
 
 
 def q_bfs(spark, d):
@@ -92,9 +130,15 @@ def q_structure(spark, d):
     return family.structure_scores(family.families(src), family.families(dst), _same_id(spark, d).where("src_id % 3 <> 1"))
 
 
+def _in_blocks(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Pairs within a block of seven of the fixture."""
+    blk = F.floor(F.col("id") / 7).alias("blk")
+    return src.select(F.col("id").alias("src_id"), blk).join(dst.select(F.col("id").alias("dst_id"), blk), "blk").select("src_id", "dst_id")
+
+
 def q_assignment(spark, d):
     src, dst = _trees(spark, d)
-    pairs = linkage.scored_pairs(src, dst, on=F.floor(F.col("s_id") / 7) == F.floor(F.col("d_id") / 7)).withColumn("family", F.floor(F.col("src_id") / 7))
+    pairs = linkage.scored_pairs(src, dst, _in_blocks(src, dst)).withColumn("family", F.floor(F.col("src_id") / 7))
     return family.assign(pairs).select("family", "src_id", "dst_id", F.round("score", 6).alias("score"))
 
 
@@ -162,7 +206,7 @@ def q_field_diffs(spark, d):
 
 
 FIELD_SQL = """, m AS (SELECT a.id, a.birth_year::VARCHAR AS sy, CASE WHEN b.id % 3 <> 0 THEN b.birth_year END AS dy, CASE WHEN a.id % 2 = 0 THEN 'Kyiv' END AS sp, CASE WHEN b.id % 4 = 0 THEN 'Kyiv' END AS dp FROM src a JOIN dst b ON a.id = b.id)
-SELECT id AS src_id, id AS dst_id, 'birth_year' AS field, sy AS new_value, 'Add' AS action FROM m WHERE dy IS NULL
+SELECT id AS src_id, id AS dst_id, 'birth_year' AS field, sy AS new_value, 'Add' AS action FROM m WHERE dy IS NULL AND sy IS NOT NULL
 UNION ALL SELECT id, id, 'place', sp, 'Add' FROM m WHERE sp IS NOT NULL AND dp IS NULL"""
 
 
@@ -200,8 +244,9 @@ def q_level_stats(spark, d):
 def queries() -> dict:
     src = fixture.source
     return {
-        "link_best_match": lambda s, d: linkage.best_matches(*_trees(s, d), on=linkage.same_last()),
+        "link_best_match": lambda s, d: linkage.best_matches(*_trees(s, d), FOUND),
         "pair_scores": q_pair_scores,
+        "top_matches": q_top,
         "exclusivity": q_exclusivity,
         "persons_fixture": lambda s, d: fixture.persons(s, d),
         "tree_stats": lambda s, d: graph.stats(src(s, d)),
@@ -249,9 +294,10 @@ def oracle_sql() -> dict[str, str]:
     o = fixture.oracle
     two = ", ".join(f"('{a}', '{b}')" for a, b in graph.TWO_STEPS)
     return {
-        "link_best_match": o(PAIRS_SQL + " SELECT src_id, dst_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, dst_id) AS k FROM g WHERE score >= 60) WHERE k = 1"),
-        "pair_scores": o(PAIRS_SQL + " SELECT src_id, count(*) AS n_pairs, round(max(score), 6) AS best FROM g GROUP BY 1"),
-        "exclusivity": o(PAIRS_SQL + ", e AS (SELECT src_id, dst_id, score, max(score) OVER w AS best, coalesce(nth_value(score, 2) OVER (PARTITION BY src_id ORDER BY score DESC, dst_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second FROM g WHERE score >= 50 WINDOW w AS (PARTITION BY src_id)) SELECT src_id, dst_id, round((score - second) / best, 6) AS exclusivity FROM e WHERE round((score - second) / best, 6) > 0"),
+        "link_best_match": o(PAIRS_SQL + f" SELECT src_id, dst_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY round(score, 6) DESC, dst_id) AS k FROM g WHERE score >= {FOUND}) WHERE k = 1"),
+        "pair_scores": o(PAIRS_SQL + f" SELECT src_id, count(*) AS n_pairs, round(max(score), 6) AS best FROM g WHERE score >= {SURE} GROUP BY 1"),
+        "top_matches": o(PAIRS_SQL + f" SELECT src_id, k::INT AS rank, dst_id, score FROM (SELECT src_id, dst_id, round(score, 6) AS score, row_number() OVER (PARTITION BY src_id ORDER BY round(score, 6) DESC, dst_id) AS k FROM g WHERE score >= {SURE}) WHERE k <= 3"),
+        "exclusivity": o(PAIRS_SQL + f", e AS (SELECT src_id, dst_id, score, max(score) OVER w AS best, coalesce(nth_value(score, 2) OVER (PARTITION BY src_id ORDER BY score DESC, dst_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second FROM g WHERE score >= {SURE} WINDOW w AS (PARTITION BY src_id)) SELECT src_id, dst_id, round((score - second) / best, 6) AS exclusivity FROM e WHERE round((score - second) / best, 6) > 0"),
         "persons_fixture": o("SELECT * FROM persons"),
         "tree_stats": o("SELECT count(*) AS n_persons, count(*) FILTER (gender = 'Male') AS n_male, count(*) FILTER (gender = 'Female') AS n_female, count(birth_year) AS n_birth, count(father_id) AS n_father FROM src"),
         "relatives_1hop": o(REL_SQL + " SELECT * FROM rel"),
@@ -272,9 +318,9 @@ def oracle_sql() -> dict[str, str]:
         "script_detect": f"WITH {NAMES_SQL} SELECT name, {script_sql('name')} AS script, regexp_matches(name, '[\\x{{0400}}-\\x{{052F}}]') AND (regexp_matches(name, '[іїєґІЇЄҐ]') OR regexp_matches(lower(name), '{names.UKRAINIAN_ENDINGS}')) AS ukrainian FROM n",
         "latin_language": f"WITH {WORDS_SQL} SELECT word, {latin_sql('word')} AS language FROM w",
         "variants_equiv": f"WITH {EDGES_SQL} SELECT x.a, x.b, y.b AS c FROM v x JOIN v y ON y.a = x.b WHERE x.a < y.b",
-        "date_compare": "SELECT id, CASE WHEN id = 0 THEN 0.85 WHEN id = 1 THEN 0.8 WHEN id <= 2 THEN 0.6 WHEN id <= 5 THEN 0.4 WHEN id <= 10 THEN 0.2 ELSE 0.0 END::DOUBLE AS similarity FROM range(0, 20) t(id)",
+        "date_compare": "SELECT id, CASE WHEN id = 0 THEN 0.9 WHEN id = 1 THEN 0.8 WHEN id <= 2 THEN 0.6 WHEN id <= 5 THEN 0.4 WHEN id <= 10 THEN 0.2 ELSE 0.0 END::DOUBLE AS similarity FROM range(0, 20) t(id)",
         "namefix_capitalization": f"WITH {WORDS_SQL} SELECT word, CASE WHEN word = upper(word) OR word = lower(word) THEN upper(word[1]) || lower(word[2:]) ELSE word END AS fixed FROM w WHERE regexp_matches(word, '^[A-Za-z]+$')",
-        "namefix_feminine": o("SELECT id, CASE WHEN regexp_matches(lower(last), '(ко|ых|их|ko|ykh|ikh)$') THEN last WHEN regexp_matches(lower(last), 'ский$') THEN last[:-3] || 'ая' WHEN regexp_matches(lower(last), '(ов|ев|ин)$') THEN last || 'а' WHEN regexp_matches(last, 'iy$') THEN last[:-3] || 'aya' WHEN regexp_matches(last, '(ov|ev|in)$') THEN last || 'a' ELSE last END AS fixed FROM src WHERE gender = 'Female'"),
+        "namefix_feminine": o("SELECT id, CASE WHEN regexp_matches(lower(last), '(ко|ых|их|ko|ykh|ikh)$') THEN last WHEN regexp_matches(lower(last), '[сц]кий$') THEN last[:-3] || 'ая' WHEN regexp_matches(lower(last), '(ов|ев|ин)$') THEN last || 'а' WHEN regexp_matches(last, 'iy$') THEN last[:-3] || 'aya' WHEN regexp_matches(last, '(ov|ev|in)$') THEN last || 'a' ELSE last END AS fixed FROM src WHERE gender = 'Female'"),
         "jaro_winkler": f"SELECT s_suppkey, round({jw_sql('x', 'y')}, 9) AS jw FROM (SELECT s_suppkey, lower(s_name) AS x, 'supplier#000000042' AS y FROM supplier)",
         "locale_histogram": o("SELECT CASE WHEN regexp_matches(first, '[\\x{0400}-\\x{052F}]') THEN 'ru' ELSE 'en' END AS locale, count(*) AS n FROM src GROUP BY 1"),
     }

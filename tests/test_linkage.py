@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import dates, names, similarity, variants
 from kinweave.operators import diff, family, graph, linkage, namefix, photos, wave
-from kinweave.sources import gedcom
 
 
 def apply(spark, function, values):
@@ -126,17 +125,6 @@ def test_photo_matching(spark):
     assert got == {"a": ("y", 1.0), "b": ("x", 0.984375), "c": (None, None)}
 
 
-def test_gedcom(spark, tmp_path):
-    (tmp_path / "t.ged").write_text("0 HEAD\n1 CHAR UTF-8\n0 @I1@ INDI\n1 NAME Ivan Petrovich /Sidorov/\n1 SEX M\n1 BIRT\n2 DATE 3 MAY 1900\n1 NOTE one\nlost line\n0 @I2@ INDI\n1 NAME Anna /Popova/\n1 SEX F\n0 @I3@ INDI\n1 NAME Petr //\n0 @F1@ FAM\n1 HUSB @I1@\n1 WIFE @I2@\n1 CHIL @I3@\n0 TRLR\n", encoding="utf-8")
-    lines = gedcom.read_lines(spark, str(tmp_path / "t.ged"), "src")
-    people = {r["id"]: r for r in gedcom.persons(lines).collect()}
-    assert (people["@I1@"]["first"], people["@I1@"]["middle"], people["@I1@"]["last"], people["@I1@"]["birth_date"]) == ("Ivan", "Petrovich", "Sidorov", "3 MAY 1900")
-    assert people["@I3@"]["last"] is None and people["@I3@"]["gender"] == "Unknown"
-    assert [r["value"] for r in lines.where("path = 'INDI.NOTE'").collect()] == ["one\nlost line"]
-    kid = gedcom.parents(gedcom.families(lines)).first()
-    assert (kid["id"], kid["father_id"], kid["mother_id"]) == ("@I3@", "@I1@", "@I2@")
-
-
 SCHEMA = "id long, first string, last string, maiden string, gender string, birth_year int"
 LADDER = [
     (1, "Anna", "Petrova", None, "Female", 1900), (2, "Anna", "Petrov", None, "Female", 1900), (3, "Anna", "Smith", "Petrova", "Female", 1901), (4, "Anna", None, "Petrova", "Female", 1900),

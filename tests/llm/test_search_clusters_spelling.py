@@ -184,7 +184,7 @@ def texts_with_variants(seed=5):
             x = w[:at] + (rng.choice(letters) if kind != "d" else "") + w[at + (kind != "i") :]
             words += [x] * rng.choice([1, 2, 3])
     chain = ["chainword", "chainworda", "chainwordab", "chainwordabc"]
-    words += [w for k, w in enumerate(chain) for _ in range(2 * 10**k)]
+    words += [w for k, w in enumerate(chain) for _ in range(2 * 14**k)]
     rng.shuffle(words)
     words = [w.upper() if rng.random() < 0.1 else w for w in words]
     rows = [(i, rng.choice([" ", "\n", "1", "Ā", "."]).join(words[i::60])) for i in range(60)]

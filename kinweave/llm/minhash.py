@@ -251,7 +251,7 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
     bits = docs.sparkSession.sparkContext.broadcast(_bits(named.select("doc_id")))
     sets = docs.select("doc_id", "text").mapInArrow(lambda x: _sets(x, width, bits.value), "doc_id long, n_shingles long, k1 long, k2 long, shingles binary").where("shingles is not null")
     sets = scratch.keep(sets.join(named, keys).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
-    bits.unpersist()
+    bits.destroy()
     return sets
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import decontaminate as winnow
 from kinweave.llm import language_id, minhash, mixing, sharding
-from kinweave.llm.common import Scratch, held_out, numbered, table
+from kinweave.llm.common import Scratch, held_out, numbered, shared_dir, table
 
 MIN_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,12 +37,15 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "dedup")
-    rows = numbered(docs.select(*COLUMNS), scratch)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    # the numbers stay, and the copy goes with the last frame that reads it where spark.cleaner.referenceTracking.cleanCheckpoints says so
+    rows = docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
     found = minhash.near_duplicates(rows.select(F.col("uid").alias("doc_id"), "text"), scratch=scratch).select(F.col("doc_id").alias("uid"), "component_id")
     found = scratch.keep(found.join(rows.select("uid", "doc_id"), "uid"), "found")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
     first = scratch.keep(first.select("first.uid"), "kept")
-    scratch.drop(but=("numbered", "kept"))
+    scratch.drop(but=("kept",))
     return rows.join(first, "uid", "left_semi").select(*COLUMNS)
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import locales, names, variants
 
 HARD_YEARS = 15
-KINDS = ("surname", "surname_start", "given_surname", "parents", "given", "given_start")
+#: The last two join all bearers of a given name in a window of years, whatever their surnames are; they are left to those who ask for them.
+EVERY = ("surname", "surname_start", "given_surname", "parents", "given", "given_start")
+KINDS = EVERY[:4]
 #: Letters of a beginning.
 START = {"surname": 4, "given": 2, "parents": 2}
 
@@ -51,6 +53,7 @@ def skeleton(surname: Column) -> Column:
 def keys(kinds: tuple[str, ...] = KINDS) -> Column:
     """The distinct block keys of a person of compare.people()."""
     parent = lambda kind: F.get(F.filter("kin", lambda k: (k["kind"] == kind) & k["known"]), F.lit(0))["f"]
+    start = lambda name: F.concat(F.lit("^"), F.substring(name, 1, START["parents"]))
     group = lambda name: F.coalesce(F.element_at(_classes(), name), name)
     found = {
         "surname": [skeleton(F.col("last")), skeleton(F.col("maiden"))],
@@ -58,9 +61,9 @@ def keys(kinds: tuple[str, ...] = KINDS) -> Column:
         "given_surname": [F.concat(x, F.lit("|"), F.substring(names.normalize(F.col(c)), 1, 1)) for x in (given_class(F.col("first"), F.col("norm_first")), F.substring("norm_first", 1, START["given"])) for c in ("last", "maiden")],
         "given": [given_class(F.col("first"), F.col("norm_first"))],
         "given_start": [F.substring("norm_first", 1, START["given"])],
-        "parents": [F.concat(f(parent("father")), F.lit("|"), f(parent("mother"))) for f in (group, lambda x: F.substring(x, 1, START["parents"]))],
+        "parents": [F.concat(f(parent("father")), F.lit("|"), f(parent("mother"))) for f in (group, start)],
     }
-    marked = [F.concat(F.lit(f"{KINDS.index(k)}:"), x) for k in kinds for x in found[k]]
+    marked = [F.concat(F.lit(f"{EVERY.index(k)}:"), x) for k in kinds for x in found[k]]
     return F.array_sort(F.array_distinct(F.filter(F.array(*marked), lambda x: x.isNotNull())))
 
 

@@ -85,10 +85,14 @@ def tokens() -> dict[str, Column]:
     place = names.normalize_place(F.col("birth_place"))
     return {
         "first_own": some(_marked, F.array("first")), "first_linked": some(_linked, F.array("first")), "all_own": some(_marked, every), "all_linked": some(_linked, every),
-        "born": normal(F.col("maiden")), "place": place, "place_words": F.array_distinct(F.filter(F.transform(F.split(place, "[, ]"), F.trim), lambda t: F.length(t) > 2)),
+        "born": normal(F.col("maiden")), "place": place, "place_words": place_words(place),
     }
 
 
+def place_words(place: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.split(place, "[, ]"), F.trim), lambda t: F.length(t) > 2))
+
+
 def alike(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity in Arrow batches: 1 for equal names without Python, and each distinct pair of a batch once."""
 
@@ -129,7 +133,8 @@ def maiden_ladder(jw: Column) -> Column:
 
 def places() -> Column:
     """Equal 1, contained 0.8, else the common share of words longer than two letters."""
-    x, y, a, b = (F.col(c) for c in ("s_place", "d_place", "s_place_words", "d_place_words"))
+    x, y = F.col("s_place"), F.col("d_place")
+    a, b = place_words(x), place_words(y)
     share = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
     return F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).otherwise(share))
 
@@ -205,6 +210,24 @@ def fields(pairs: DataFrame) -> DataFrame:
     return with_families(own_fields(pairs))
 
 
+#: What a pair needs of both sides for own_fields(), if its first_sim is there: no arrays.
+SLIM = ("id", "gender", "norm_last", "norm_maiden", "born", "place", "first_key", *YEARS)
+
+
+def first_key() -> Column:
+    """A text that tells everything that given names are compared by."""
+    return F.concat_ws("\x01", *[F.coalesce(c, F.lit("\x02")) for c in ("first", "nickname", "middle")], "variants")
+
+
+def first_sims(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """s_first_key, d_first_key and first_sim of the distinct pairs of given names among pairs; left and right are people with first_key."""
+    ship(pairs.sparkSession)
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("first_key", "norm_first", *TOKENS[:4])]).dropDuplicates([f"{p}_first_key"])
+    rows = pairs.select("s_first_key", "d_first_key").distinct().join(side(left, "s"), "s_first_key").join(side(right, "d"), "d_first_key")
+    rows = rows.withColumn("__first", alike(F.col("s_norm_first"), F.col("d_norm_first")))
+    return rows.select("s_first_key", "d_first_key", first_ladder(F.col("__first")).alias("first_sim"))
+
+
 def with_families(pairs: DataFrame) -> DataFrame:
     """pairs with fam, from s_kin and d_kin; who has no relatives isn't sent to Python."""
     ship(pairs.sparkSession)
@@ -215,9 +238,10 @@ def with_families(pairs: DataFrame) -> DataFrame:
 def own_fields(pairs: DataFrame) -> DataFrame:
     """As fields(), but without relatives; s_kin and d_kin aren't needed."""
     ship(pairs.sparkSession)
-    jw = {f"__{c}": alike(F.col(f"s_norm_{c}"), F.col(f"d_norm_{c}")) for c in ("first", "last", "maiden")}
+    own = () if "first_sim" in pairs.columns else ("first",)
+    jw = {f"__{c}": alike(F.col(f"s_norm_{c}"), F.col(f"d_norm_{c}")) for c in (*own, "last", "maiden")}
     return pairs.withColumns(jw).withColumns({
-        "first_sim": first_ladder(F.col("__first")), "last_sim": last_ladder(F.col("__last")), "maiden_sim": maiden_ladder(F.col("__maiden")),
+        "first_sim": first_ladder(F.col("__first")) if own else F.col("first_sim"), "last_sim": last_ladder(F.col("__last")), "maiden_sim": maiden_ladder(F.col("__maiden")),
         "birth_sim": event("birth"), "place_sim": places(), "death_sim": event("death"),
     }).drop(*jw)
 
@@ -238,6 +262,12 @@ def _points(w: dict, family: Column) -> tuple[Column, Column]:
     return points, sum((F.when(F.col(f"{c}_sim").isNotNull(), float(x)).otherwise(0.0) for c, x in shares.items()), F.lit(float(w["gender"] + w["family"])))
 
 
+def least_possible(weights: dict | None = None) -> Column:
+    """The score that pairs with own_fields() have at least, whatever their relatives are."""
+    points, most = _points(WEIGHTS | (weights or {}), F.lit(0.0))
+    return F.when(most > 0, F.least(F.lit(85.0), 100 * points / most)).otherwise(0.0)
+
+
 def most_possible(relatives: Column, weights: dict | None = None) -> Column:
     """The largest score that pairs with own_fields() can have, whatever their relatives are: if both have some (relatives), all agree and give both bonuses."""
     points, most = _points(WEIGHTS | (weights or {}), F.when(relatives, 1.0).otherwise(0.0))

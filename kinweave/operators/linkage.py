@@ -11,23 +11,28 @@ from . import blocking, compare
 
 def trees(src: DataFrame, dst: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Both trees with a person's every column, kin and block keys, written once."""
-    whole = lambda df: compare.people(df).withColumn("keys", blocking.keys()).withColumn("has_kin", F.col("kin").isNotNull())
-    return scratch.keep(whole(src), "src"), scratch.keep(whole(dst), "dst")
+    more = lambda: {"keys": blocking.keys(), "has_kin": F.col("kin").isNotNull(), "first_key": compare.first_key()}
+    return scratch.keep(compare.people(src).withColumns(more()), "src"), scratch.keep(compare.people(dst).withColumns(more()), "dst")
 
 
-def scored_pairs(src: DataFrame, dst: DataFrame, pairs: DataFrame | None = None, least: float = 0.0, weights: dict | None = None, scratch: Scratch | None = None) -> DataFrame:
+def scored_pairs(src: DataFrame, dst: DataFrame, pairs: DataFrame | None = None, least: float = 0.0, weights: dict | None = None, scratch: Scratch | None = None, best_only: bool = False) -> DataFrame:
     """src_id, dst_id, score and reasons of the pairs (by default those that share a block) with the score least or more.
 
-    Relatives, the dear part, are compared for pairs alone that could still reach `least` with all relatives alike.
+    Pairs carry plain columns only. Given names, whose rules need the dictionary, are compared once for each distinct pair. Relatives, the dear part, are compared for those pairs alone
+    that could still reach `least` with all relatives alike or, for best_only, could still pass the score that some pair of the same source has whatever its relatives are.
     """
     scratch = scratch or Scratch(src.sparkSession, "link")
     left, right = trees(src, dst, scratch)
     found = blocking.candidates(left, right) if pairs is None else pairs
-    rows = compare.own_fields(compare.paired(found, left.drop("kin", "keys"), right.drop("kin", "keys")))
-    if least > 0:
-        rows = rows.where(compare.most_possible(F.col("s_has_kin") & F.col("d_has_kin"), weights) >= least)
+    slim = lambda df: df.select(*compare.SLIM, "has_kin")
+    rows = scratch.keep(compare.paired(found, slim(left), slim(right)), "pairs")
+    rows = compare.own_fields(rows.join(scratch.keep(compare.first_sims(rows, left, right), "first"), ["s_first_key", "d_first_key"]))
+    relatives = F.col("s_has_kin") & F.col("d_has_kin")
+    rows = rows.withColumns({"most": compare.most_possible(relatives, weights), "sure": compare.least_possible(weights)})
     # ids and similarities are written, so that the similarities are taken once
-    rows = scratch.keep(rows.select("s_id", "d_id", "s_gender", "d_gender", *[f"{c}_sim" for c in compare.FIELDS]), "sims")
+    rows = scratch.keep(rows.where(F.col("most") >= least).select("s_id", "d_id", "s_gender", "d_gender", "most", "sure", *[f"{c}_sim" for c in compare.FIELDS]), "sims")
+    if best_only:
+        rows = rows.join(rows.groupBy("s_id").agg(F.max("sure").alias("passed")), "s_id").where(F.col("most") >= F.col("passed") - 1e-6)
     kin = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("kin").alias(f"{p}_kin"))
     rows = compare.with_families(rows.join(kin(left, "s"), "s_id").join(kin(right, "d"), "d_id"))
     kinds = [x.schema["id"].dataType for x in (src, dst)]
@@ -37,7 +42,8 @@ def scored_pairs(src: DataFrame, dst: DataFrame, pairs: DataFrame | None = None,
 
 def best_matches(src: DataFrame, dst: DataFrame, least: float = 60.0, pairs: DataFrame | None = None) -> DataFrame:
     """The best target of each source with the score least or more; ties go to the smaller id. Each task sends one row a source."""
-    best = scored_pairs(src, dst, pairs, least).groupBy("src_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "dst_id")).alias("b"))
+    scored = scored_pairs(src, dst, pairs, least, best_only=True)
+    best = scored.groupBy("src_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "dst_id")).alias("b"))
     return best.select("src_id", F.col("b.dst_id").alias("dst_id"), (-F.col("b.s")).alias("score"))
 
 

@@ -20,7 +20,7 @@ s2(i, cyr, lat) AS (VALUES (0,'н','n'),(1,'ра','ra'),(2,'ми','mi'),(3,'де
 s3(i, cyr, lat) AS (VALUES (0,'ов','ov'),(1,'ров','rov'),(2,'нин','nin'),(3,'ский','skiy'),(4,'енко','enko'),(5,'лев','lev'),(6,'дин','din'),(7,'ков','kov'),(8,'цкий','tskiy'),(9,'шин','shin')),
 named AS (
   SELECT p.id, p.blk, p.r, p.gender, p.birth_year, p.father_id, p.mother_id, fn.cyr AS fc, fn.lat AS fl, s1.cyr || s2.cyr || s3.cyr AS lc, s1.lat || s2.lat || s3.lat AS ll
-  FROM p JOIN fn ON fn.i = MOD(p.blk * 5 + p.r * 3, 8) AND fn.g = CASE WHEN p.r IN (0,2,4,6) THEN 'Male' ELSE 'Female' END
+  FROM p JOIN fn ON fn.i = MOD(CAST(FLOOR(p.blk / (p.r + 1.0)) AS BIGINT) * 5 + p.blk + p.r * 3, 8) AND fn.g = CASE WHEN p.r IN (0,2,4,6) THEN 'Male' ELSE 'Female' END
   JOIN s1 ON s1.i = MOD(p.blk * 7, 10) JOIN s2 ON s2.i = MOD(CAST(FLOOR(p.blk / 3.0) AS BIGINT), 10) JOIN s3 ON s3.i = MOD(CAST(FLOOR(p.blk / 11.0) AS BIGINT) + p.blk, 10)
 ),
 persons AS (

@@ -102,7 +102,7 @@ h AS (
 ), r AS (SELECT sid AS src_id, did AS dst_id, family, 100 * (points + 25 * family) / most + CASE WHEN parents THEN 10 ELSE 0 END AS raw FROM h),
 g AS (SELECT src_id, dst_id, least(100.0, CASE WHEN family < 0.1 AND raw > 85 THEN 85.0 ELSE raw END) AS score FROM r)"""
 #: The least score of a best match, and of the pairs in pair_scores, top_matches and exclusivity.
-FOUND, SURE = 60, 90
+FOUND, SURE = 80, 97
 
 
 def _found(spark, d) -> DataFrame:

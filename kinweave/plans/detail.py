@@ -178,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "namefix_ukrainian": o(row("en-US", "first_name", "src_first") + union + row("en-US", "last_name", "src_last") + union + row("uk", "first_name", "src_first", ukrainian("src_first")) + union + row("uk", "last_name", "src_last", ukrainian("src_last"))),
         "namefix_script_split": o(row("en-US", "first_name", f"CASE WHEN {cyr('src_first')} THEN dst_first ELSE src_first || ' ' || dst_first END") + union + row("ru", "first_name", "src_first", cyr("src_first"))),
         "namefix_ensure_english": o(row("ru", "first_name", "src_first") + union + row("de", "last_name", "dst_last || 'ß'") + union + row("en-US", "first_name", roman_sql("src_first")) + union + row("en-US", "last_name", "dst_last || 'ss'")),
-        "namefix_duplicates": o(row("en-US", "first_name", "dst_first") + union + row("de", "first_name", "src_first", f"src_first <> dst_first AND NOT {cyr('src_first')}") + union + row("ru", "first_name", "src_first", cyr("src_first"))),
+        "namefix_duplicates": o(row("en-US", "first_name", "dst_first") + union + row("ru", "first_name", "src_first", "src_first <> dst_first")),
         "namefix_cleanup": o(row("en-US", "first_name", "dst_first") + union + row("en", "first_name", "src_first", "lower(src_first) <> lower(dst_first)")),
         "namefix_languages": f"WITH {WORDS_SQL}, x AS (SELECT word, {latin_sql('word')} AS language FROM w WHERE NOT {cyr('word')}) SELECT word, 'en-US' AS locale, word AS value FROM w UNION ALL SELECT word, language, word FROM x WHERE language <> 'en' UNION ALL SELECT word, 'he', word FROM w WHERE regexp_matches(word, '[\\x{{0590}}-\\x{{05FF}}]')",
     }

@@ -42,3 +42,32 @@ def similarity(year_a: Column, year_b: Column, precision_a: Column, precision_b:
     gap, least = F.abs(year_a - year_b), F.least(precision_a, precision_b)
     same = F.when(least == 0, 0.90).when(~equal_month, 0.85).when((least == 2) & equal_day, 1.0).otherwise(0.95)
     return F.when(gap == 0, same).when(gap == 1, 0.80).when(gap <= 2, 0.60).when(gap <= min(soft, most), 0.40).when(gap <= most, 0.20).otherwise(0.0)
+
+
+#: Month names of the service's dates.
+SERVICE_MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+LONG_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
+
+
+def update_form(text: Column) -> Column:
+    """struct(day, month, year) of an update's date: the first number of four digits, the first month of the year whose name occurs, the first number of one or two; null without a year."""
+    body = F.regexp_replace(text, r"(?i)^(ABT|AFT|BEF|EST|CAL|BET)\s+", "")
+    number = lambda n: F.nullif(F.regexp_extract(body, rf"(?<![\p{{L}}\p{{N}}_])([0-9]{{{n}}})(?![\p{{L}}\p{{N}}_])", 1), F.lit("")).cast("int")
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(SERVICE_MONTHS, 1))):
+        month = F.when(F.contains(F.upper(body), F.lit(name)), i).otherwise(month)
+    day, year = number("1,2"), number("4")
+    return F.when(year.isNotNull(), F.struct(F.when(day.between(1, 31), day).alias("day"), month.alias("month"), year.alias("year")))
+
+
+def creation_form(text: Column) -> Column:
+    """struct(day, month, year) of a new person's date, from its parts between blanks, hyphens and slashes, the last of a kind; null if there is none."""
+    body = F.regexp_replace(text, r"(?i)^(ABT|AFT|BEF|EST|CAL)\s+", "")
+    parts = F.filter(F.split(F.trim(F.upper(body)), r"[ \-/]"), lambda p: p != "")
+    last = lambda kind, value: F.try_element_at(F.transform(F.filter(parts, kind), value), F.lit(-1))
+    number = lambda p: p.try_cast("int")
+    year = last(lambda p: p.rlike(r"^\+?[0-9]+$") & (F.length(p) == 4), number)
+    day = last(lambda p: p.rlike(r"^\+?[0-9]+$") & (F.length(p) <= 2) & number(p).between(1, 31), number)
+    place = lambda p: F.greatest(F.array_position(F.array(*map(F.lit, SERVICE_MONTHS)), p), F.array_position(F.array(*map(F.lit, LONG_MONTHS)), p))
+    month = last(lambda p: place(p) > 0, lambda p: place(p).cast("int"))
+    return F.when(F.coalesce(year, month, day).isNotNull(), F.struct(day.alias("day"), month.alias("month"), year.alias("year")))

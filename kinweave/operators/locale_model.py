@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..scratch import Scratch
 
 ORDERS = (1, 2, 3)
 #: Not names.
@@ -41,10 +42,53 @@ def train(rows: DataFrame, buckets: int = 1 << 14) -> PipelineModel:
     return Pipeline(stages=stages).fit(rows)
 
 
+def labels_of(model: PipelineModel) -> list[str]:
+    """Locales in the model's own order."""
+    return list(next(s for s in model.stages if isinstance(s, StringIndexerModel) and s.isSet("outputCol")).labels)
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with predicted and confidence; label names come from the indexer, in the model's own order."""
-    labels = next(s for s in model.stages if getattr(s, "labels", None) and s.getOrDefault("outputCol") == "label").labels
+    """rows with predicted, confidence and scores (a map of every locale's probability); label names come from the indexer, in the model's own order."""
+    labels = labels_of(model)
     blank = rows if "locale" in rows.columns else rows.withColumn("locale", F.lit(labels[0]))
     scored = model.transform(blank)
-    at = F.col("prediction").cast("int")
-    return scored.select(*rows.columns, F.get(F.array(*[F.lit(x) for x in labels]), at).alias("predicted"), F.get(vector_to_array("probability"), at).alias("confidence"))
+    at, all_ = F.col("prediction").cast("int"), vector_to_array("probability")
+    names_ = F.array(*[F.lit(x) for x in labels])
+    scores = F.map_from_arrays(names_, F.slice(all_, 1, len(labels)))
+    return scored.select(*rows.columns, F.get(names_, at).alias("predicted"), F.get(all_, at).alias("confidence"), scores.alias("scores"))
+
+
+def with_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """Each row's fold, from its name, kind and gender alone: equal rows share a fold, reruns agree."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64("name", "name_type", "gender"), F.lit(folds)).cast("int"))
+
+
+def metrics(predicted: DataFrame, *by: str) -> DataFrame:
+    """n, micro_accuracy (share of right rows), macro_accuracy (mean over locales of each one's share) and log_loss of predict()'s rows, by those columns.
+
+    A locale that the model doesn't know has probability 0, which counts as 1e-15.
+    """
+    sure = F.greatest(F.coalesce(F.try_element_at("scores", F.col("locale")), F.lit(0.0)), F.lit(1e-15))
+    right = F.coalesce(F.col("predicted") == F.col("locale"), F.lit(False)).cast("double")
+    each = predicted.groupBy(*by, "locale").agg(F.count("*").alias("n"), F.sum(right).alias("right"), F.sum(-F.log(sure)).alias("loss"))
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("micro_accuracy"), F.avg(F.col("right") / F.col("n")).alias("macro_accuracy"), (F.sum("loss") / F.sum("n")).alias("log_loss"))
+
+
+def cross_validate(rows: DataFrame, folds: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """fold and its metrics(), each fold predicted by a model trained on all others; the mean over folds is the estimate. rows are written once, as every model reads them."""
+    rows = (scratch or Scratch(rows.sparkSession, "locale-folds")).keep(with_folds(rows, folds), "rows")
+    out = None
+    for fold in range(folds):
+        rest, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        found = metrics(predict(train(rest), held), "fold")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """The pipeline with its list of locales, in shared storage."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

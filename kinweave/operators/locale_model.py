@@ -28,16 +28,16 @@ def training_rows(persons: DataFrame) -> DataFrame:
     return rows.where(is_training_name(F.col("name"))).withColumn("locale", locale).distinct()
 
 
-def train(rows: DataFrame, buckets: int = 1 << 14) -> PipelineModel:
-    """rows: name, name_type, gender, locale."""
+def train(rows: DataFrame, buckets: int = 1 << 13) -> PipelineModel:
+    """rows: name, name_type, gender, locale. Single characters need fewer buckets than longer runs; an iteration's time grows with their number."""
     stages = [SQLTransformer(statement="SELECT *, lower(name) AS low FROM __THIS__"), RegexTokenizer(inputCol="low", outputCol="chars", pattern=".", gaps=False)]
     for n in ORDERS:
-        stages += [NGram(n=n, inputCol="chars", outputCol=f"grams{n}"), HashingTF(numFeatures=buckets, inputCol=f"grams{n}", outputCol=f"tf{n}")]
+        stages += [NGram(n=n, inputCol="chars", outputCol=f"grams{n}"), HashingTF(numFeatures=min(buckets, 1 << (5 + 4 * n)), inputCol=f"grams{n}", outputCol=f"tf{n}")]
     stages += [
         StringIndexer(inputCols=["name_type", "gender"], outputCols=["type_index", "gender_index"], handleInvalid="keep"),
         StringIndexer(inputCol="locale", outputCol="label", handleInvalid="keep"),
         VectorAssembler(inputCols=[*(f"tf{n}" for n in ORDERS), "type_index", "gender_index"], outputCol="features"),
-        LogisticRegression(maxIter=30, regParam=0.001),
+        LogisticRegression(maxIter=30, regParam=0.001, tol=1e-4),
     ]
     return Pipeline(stages=stages).fit(rows)
 
@@ -74,13 +74,13 @@ def metrics(predicted: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("micro_accuracy"), F.avg(F.col("right") / F.col("n")).alias("macro_accuracy"), (F.sum("loss") / F.sum("n")).alias("log_loss"))
 
 
-def cross_validate(rows: DataFrame, folds: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def cross_validate(rows: DataFrame, folds: int = 5, scratch: Scratch | None = None, buckets: int = 1 << 13) -> DataFrame:
     """fold and its metrics(), each fold predicted by a model trained on all others; the mean over folds is the estimate. rows are written once, as every model reads them."""
     rows = (scratch or Scratch(rows.sparkSession, "locale-folds")).keep(with_folds(rows, folds), "rows")
     out = None
     for fold in range(folds):
         rest, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        found = metrics(predict(train(rest), held), "fold")
+        found = metrics(predict(train(rest, buckets), held), "fold")
         out = found if out is None else out.unionByName(found)
     return out
 

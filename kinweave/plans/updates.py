@@ -151,8 +151,9 @@ def _receive(attempt: int, row: dict) -> None:
 
 def q_delivery(spark, d) -> DataFrame:
     """Outcomes after two runs over the payloads of all differences."""
-    nodes = diff.service_payloads(q_differences(spark, d))
-    sink = delivery.Delivery(spark, Scratch(spark, "delivery").root)
+    scratch = Scratch(spark, "delivery")
+    nodes = scratch.keep(diff.service_payloads(q_differences(spark, d)), "nodes")
+    sink = delivery.Delivery(spark, f"{scratch.root}/000-store")
     for attempt in (1, 2):
         sink.run(nodes, partial(_receive, attempt), batches=2)
     return sink.state().select(F.col("src_id").cast("long").alias("src_id"), "outcome", "reason", "attempts")

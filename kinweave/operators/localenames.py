@@ -59,17 +59,20 @@ def _mapped(inner: Column, test, value) -> Column:
 def script_split(df: DataFrame) -> DataFrame:
     """Values of mixed scripts: the Cyrillic words fill ru, the Hebrew ones he, the Latin ones stay in an English locale or else fill en-US."""
     mixed = lambda v: names.script(v) == "Mixed"
-    part = lambda k: (lambda v: names.split_by_script(v)[k])
-    every = F.concat(F.map_values("names"), F.array(primary()))
-    found = lambda k, start: F.aggregate(every, start, lambda acc, m: fill(acc, _mapped(m, mixed, part(k))))
-    has = lambda v: mixed(v) & part("latin")(v).isNotNull()
-    kept = F.transform_values("names", lambda loc, m: F.when(loc.isin(ENGLISH, SHORT), F.transform_values(m, lambda _, v: F.when(has(v), part("latin")(v)).otherwise(v))).otherwise(F.map_filter(m, lambda _, v: ~F.coalesce(has(v), F.lit(False)))))
+    # each value with its words by script, null unless mixed: the dear part, made once
+    parts = lambda m: F.transform_values(m, lambda _, v: F.struct(v.alias("v"), F.when(mixed(v), names.split_by_script(v)).alias("p")))
+    df = df.withColumns({"__read": F.transform_values("names", lambda _, m: parts(m)), "__own": parts(primary())})
+    every = F.concat(F.map_values("__read"), F.array(F.col("__own")))
+    part = lambda m, k: solid(F.transform_values(F.map_filter(m, lambda _, x: x["p"].isNotNull()), lambda _, x: x["p"][k]))
+    found = lambda k, start: F.aggregate(every, start, lambda acc, m: fill(acc, part(m, k)))
+    latin = lambda x: x["p"]["latin"]
+    kept = F.transform_values("__read", lambda loc, m: F.transform_values(F.map_filter(m, lambda _, x: loc.isin(ENGLISH, SHORT) | latin(x).isNull()), lambda _, x: F.coalesce(latin(x), x["v"])))
     df = df.withColumns({"__ru": found("cyrillic", fields_of(F.col("names"), RUSSIAN)), "__he": found("hebrew", fields_of(F.col("names"), HEBREW)), "__en": found("latin", _empty()), "__kept": kept})
     # values that were mixed in ru and he are gone from kept, so what was found fills them
     for locale, column in ((RUSSIAN, "__ru"), (HEBREW, "__he"), (ENGLISH, "__en")):
         df = df.withColumn("__kept", with_fields(F.col("__kept"), locale, fill(F.map_filter(fields_of(F.col("__kept"), locale), lambda _, v: ~mixed(v)), _mapped(F.col(column), lambda v: ~mixed(v), lambda v: v))))
-    own = {c: F.when(has(F.col(c)), part("latin")(F.col(c))).otherwise(F.col(c)) for c in PRIMARY.values()}
-    return df.withColumn("names", F.col("__kept")).drop("__ru", "__he", "__en", "__kept").withColumns(own)
+    own = {c: F.coalesce(F.try_element_at("__own", F.lit(f))["p"]["latin"], F.col(c)) for f, c in PRIMARY.items()}
+    return df.withColumns(own | {"names": F.col("__kept")}).drop("__read", "__own", "__ru", "__he", "__en", "__kept")
 
 
 def cyrillic_to_ru(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..scratch import Scratch
 from ..shipping import ship
 
@@ -105,10 +106,10 @@ def _filled(text: Column) -> Column:
 def variants(name: Column) -> Column:
     """`A (B)` and `A\\B` are two spellings; anything but letters, digits, blanks, hyphens and apostrophes goes."""
     clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{M}0-9 '-]", ""), r"\s+", " "))
-    both = lambda p: F.array(clean(F.regexp_extract(name, p, 1)), clean(F.regexp_extract(name, p, 2)))
+    both = lambda n, p: F.array(clean(F.regexp_extract(n, p, 1)), clean(F.regexp_extract(n, p, 2)))
     round_, slash = r"^(.+?)\s*\(([^)]+)\)\s*$", r"^(.+?)\\(.+)$"
-    found = F.when(name.rlike(round_), both(round_)).when(name.rlike(slash), both(slash)).otherwise(F.array(clean(name)))
-    return F.when(_filled(name).isNull(), F.array().cast("array<string>")).otherwise(F.filter(found, lambda x: x != ""))
+    found = lambda n: F.when(n.rlike(round_), both(n, round_)).when(n.rlike(slash), both(n, slash)).otherwise(F.array(clean(n)))
+    return names.once(name, lambda n: F.when(_filled(n).isNull(), F.array().cast("array<string>")).otherwise(F.filter(found(n), lambda x: x != "")))
 
 
 def clean_name(name: Column) -> Column:
@@ -119,13 +120,17 @@ def date(text: Column) -> Column:
     """struct(year, month, day, precision): the first date of a range; an impossible day leaves the month, an unknown month the year; null without a year."""
     body = F.regexp_replace(F.upper(F.trim(text)), r"^(ABT|BEF|AFT|EST|CAL|BET|FROM|TO|INT)\.?\s+", "")
     body = F.regexp_replace(F.regexp_replace(body, r"\s+(AND|TO)\s.*$", ""), r"\s*\(.*$", "")
-    part = lambda i: F.nullif(F.regexp_extract(body, r"^(?:([0-9]{1,2})\s+)?(?:([A-Z]{3})\s+)?([0-9]{1,4})(?:/[0-9]{2})?\s*$", i), F.lit(""))
-    year, day = F.nullif(part(3).cast("int"), F.lit(0)), part(1).cast("int")
-    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(2)).cast("int"), F.lit(0))
-    last = F.dayofmonth(F.last_day(F.make_date(F.coalesce(year, F.lit(1)), F.coalesce(month, F.lit(1)), F.lit(1))))
-    whole = month.isNotNull() & day.between(1, 31) & (day <= last)
-    found = F.struct(year.alias("year"), month.alias("month"), F.when(whole, day).alias("day"), F.when(whole, 2).when(month.isNotNull(), 1).otherwise(0).alias("precision"))
-    return F.when(year.isNotNull(), found)
+    part = lambda b, i: F.nullif(F.regexp_extract(b, r"^(?:([0-9]{1,2})\s+)?(?:([A-Z]{3})\s+)?([0-9]{1,4})(?:/[0-9]{2})?\s*$", i), F.lit(""))
+    month_of = lambda b: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(b, 2)).cast("int"), F.lit(0))
+    parts = lambda b: F.struct(F.nullif(part(b, 3).cast("int"), F.lit(0)).alias("year"), month_of(b).alias("month"), part(b, 1).cast("int").alias("day"))
+
+    def dated(p: Column) -> Column:
+        last = F.dayofmonth(F.last_day(F.make_date(F.coalesce(p["year"], F.lit(1)), F.coalesce(p["month"], F.lit(1)), F.lit(1))))
+        whole = p["month"].isNotNull() & p["day"].between(1, 31) & (p["day"] <= last)
+        found = F.struct(p["year"].alias("year"), p["month"].alias("month"), F.when(whole, p["day"]).alias("day"), F.when(whole, 2).when(p["month"].isNotNull(), 1).otherwise(0).alias("precision"))
+        return F.when(p["year"].isNotNull(), found)
+
+    return names.once(names.once(body, parts), dated)
 
 
 def persons(records: DataFrame, this_year: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import dates, names
 from kinweave.operators import localenames
 from kinweave.plans import fixture
+from kinweave.sources import gedcom
 
 
 def rlikes(df) -> int:
@@ -31,3 +32,12 @@ def test_scripts_are_told_once(spark):
     spark.conf.set("spark.sql.maxPlanStringLength", 1 << 30)
     assert rlikes(out) < 100
     assert out.first()["names"] == {"ru": {"first_name": "Анна"}, "he": {"first_name": "חנה"}, "en-US": {"first_name": "Anna"}}
+
+
+def test_dates_of_files_and_updates_are_cut_once(spark):
+    rows = spark.createDataFrame([("ABT 31 FEB 2000",)], "v string")
+    cuts = lambda c: rows.select(c.alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+    # nullif writes its value twice
+    assert cuts(gedcom.date(F.col("v"))) == 10 and cuts(dates.update_form(F.col("v"))) == 4
+    got = rows.select(gedcom.date(F.col("v")).alias("a"), dates.update_form(F.col("v")).alias("b")).first()
+    assert tuple(got["a"]) == (2000, 2, None, 1) and tuple(got["b"]) == (31, 2, 2000)

@@ -1,17 +1,22 @@
 """Tree alignment from an anchor, level by level over families.
 
-The order of visits decides who is mapped, so the walk of one pair of trees is sequential. It takes the whole score of the members of two families when it meets
-them, or scores that are given. Many walks run side by side: each pair of trees is a group of its own.
+The order of visits decides who is mapped, as in a queue. It takes the whole score of the members of two families when it meets them, or scores that are given. `walk` is the queue itself,
+for trees at hand; `align` has the same result for trees of any size. There all visits of a level are known at once, each with its place in the order, a path. A visit reads and writes
+members of its own family and of its counterparts alone, and who is mapped, passed over or taken stays so. So visits to families that share nobody who is still open don't depend on each
+other and run at once, a row for each family; visits to families that do share run by their paths, in rounds. Many walks run side by side.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..shipping import ship
 from . import compare
 
@@ -35,6 +40,15 @@ class Tree:
             for c in self.family[key]:
                 self.as_child.setdefault(c, []).append(key)
 
+    @classmethod
+    def of(cls, families: dict[tuple, list[dict]]) -> Tree:
+        """Some families alone. A member: id, kid (whether it is one of the children) and who."""
+        out = cls([])
+        for key, rows in families.items():
+            out.person |= {r["id"]: (r["who"]["gender"], r["who"]["birth_year"]) for r in rows}
+            out.family[key] = sorted(r["id"] for r in rows if r["kid"])
+        return out
+
     def members(self, key: tuple) -> list:
         return [x for x in key if x in self.person] + self.family[key]
 
@@ -96,6 +110,26 @@ def _valid(s, d, a: Tree, b: Tree, taken: set) -> bool:
     return not clash and not far and d not in taken
 
 
+def _visit(f, options: list, a: Tree, b: Tree, mapped: dict, taken: set, processed: set, score) -> list[tuple] | None:
+    """(src_id, dst_id, score, found_via) that a visit to family f adds, whose visitor's target has the families `options`; none without a counterpart.
+
+    Who of f isn't mapped then is passed over for good, as the visitor is a mapped member of f. mapped, taken and processed change in place.
+    """
+    found = [(t, g) for g in options if (t := _candidate(f, g, a, b, mapped, score)) is not None]
+    best = max(found, key=lambda x: x[0], default=(0, None))
+    if best[0] <= 0:
+        return None
+    rows = []
+    for m, d, points, via in _propose(f, best[1], a, b, mapped, taken, score):
+        if m not in processed and _valid(m, d, a, b, taken):
+            mapped[m] = d
+            taken.add(d)
+            processed.add(m)
+            rows.append((m, d, points, via))
+    processed.update(a.members(f))
+    return rows
+
+
 def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> list[tuple]:
     """(src_id, dst_id, score, level, found_via) in order of discovery; score gives the points of two ids."""
     a, b = Tree(src), Tree(dst)
@@ -107,33 +141,11 @@ def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> lis
     queue, processed, taken = deque((s, 0) for s in mapped), set(mapped), set(mapped.values())
     while queue:
         s, level = queue.popleft()
-        if s not in mapped:
-            continue
         for kind in ("as_spouse", "as_child"):
             for f in getattr(a, kind).get(s, []):
-                options = [(t, g) for g in getattr(b, kind).get(mapped[s], []) if (t := _candidate(f, g, a, b, mapped, score)) is not None]
-                best = max(options, key=lambda x: x[0], default=(0, None))
-                if best[0] <= 0:
-                    continue
-                left, hit = a.members(f), False
-                for m, d, points, via in _propose(f, best[1], a, b, mapped, taken, score):
-                    if m in processed:
-                        left.remove(m)
-                        hit = True
-                    elif _valid(m, d, a, b, taken):
-                        mapped[m] = d
-                        taken.add(d)
-                        rows.append((m, d, points, level + 1, via))
-                        queue.append((m, level + 1))
-                        processed.add(m)
-                        left.remove(m)
-                        hit = True
-                hit = hit or any(x in mapped for x in left)
-                if hit:
-                    for x in left:
-                        if x not in processed:
-                            queue.append((x, level + 1))
-                            processed.add(x)
+                for m, d, points, via in _visit(f, getattr(b, kind).get(mapped[s], []), a, b, mapped, taken, processed, score) or ():
+                    rows.append((m, d, points, level + 1, via))
+                    queue.append((m, level + 1))
     return rows
 
 
@@ -141,46 +153,160 @@ def walk(src: list[tuple], dst: list[tuple], score, anchors: list[tuple]) -> lis
 PERSON = ("norm_first", "norm_last", "norm_maiden", "gender", *compare.YEARS, *compare.TOKENS, "kin")
 
 
+#: Place of a kind of visit, of a family and of a new pair, in one number of a path.
+KIND, FAMILY = 1 << 61, 1 << 31
+#: Families that cross to Python objects together.
+TOGETHER = 256
+#: Tables of a walk's state that are read side by side before they become one.
+MANY = 16
+FOUND = "walk string, fam string, id long, target long, points int, via string, path array<long>"
+
+
+def _family(text: str) -> tuple:
+    return tuple(None if x == "None" else int(x) for x in text[1:-1].split(", "))
+
+
+def _visits(given: bool):
+    """A row for each family to its FOUND rows: new pairs, those passed over (no target), and one without id where the family is done."""
+
+    def one(row: dict, scorer: compare.Scorer) -> list[tuple]:
+        f, options = _family(row["fam"]), {}
+        for r in [*row["members"], *row["targets"]]:
+            r["who"] = json.loads(r["who"])
+        for r in row["targets"]:
+            options.setdefault(_family(r["g"]), []).append(r)
+        a, b = Tree.of({f: row["members"]}), Tree.of(options)
+        mapped = {r["id"]: r["target"] for r in row["members"] if r["target"] is not None}
+        processed, taken = {r["id"] for r in row["members"] if r["done"]}, {r["id"] for r in row["targets"] if r["taken"]}
+        known = {(r["id"], r["other"]): r["points"] for r in row["scores"]} if given else {}
+        who = {r["id"]: r["who"] for r in row["members"]}, {r["id"]: r["who"] for r in row["targets"]}
+
+        def score(s, d) -> float:
+            if (s, d) not in known:
+                known[s, d] = 0.0 if given else scorer(who[0][s], who[1][d])
+            return known[s, d]
+
+        before, out = set(processed), []
+        for visit in sorted(row["visits"], key=lambda v: v["path"]):
+            new = _visit(f, [_family(g) for g in visit["gs"]], a, b, mapped, taken, processed, score)
+            if new is not None:
+                path = visit["path"]
+                out += [(m, d, points, via, [*path[:-1], path[-1] + n]) for n, (m, d, points, via) in enumerate(new)]
+                out += [(m, None, None, None, None) for m in processed - before - {r[0] for r in new}]
+                out.append((None, None, None, None, None))
+                break  # all of the family are done
+        return [(row["walk"], row["fam"], *r) for r in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+        names, scorer = [c.split()[0] for c in FOUND.split(", ")], compare.Scorer()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = [x for row in batch.slice(at, TOGETHER).to_pylist() for x in one(row, scorer)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _tree(df: DataFrame, walk: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """walk and id of all; walk, fam, id, kid and who (JSON) of families' members; walk, id, kind (0: parent, 1: child), fam and at (place among the person's families) of those."""
+    df = scratch.keep(df, "tree")
+    ids = [F.col(c).cast("long").alias(c) for c in ("id", "father_id", "mother_id")]
+    who = compare.people(df).select(F.col("id").cast("long").alias("id"), F.to_json(F.struct(*PERSON), {"ignoreNullFields": "false"}).alias("who"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    fam = F.when(F.col("father_id").isNotNull() | F.col("mother_id").isNotNull(), F.concat(F.lit("("), text("father_id"), F.lit(", "), text("mother_id"), F.lit(")")))
+    people = scratch.keep(df.select(walk.alias("walk"), *ids).join(who, "id").dropDuplicates(["walk", "id"]).withColumn("fam", fam), "people")
+    kids = people.where("fam is not null")
+    parents = kids.select("walk", "fam", F.explode(F.array_distinct(F.array("father_id", "mother_id"))).alias("id")).where("id is not null").distinct().join(people.select("walk", "id", "who"), ["walk", "id"])
+    members = scratch.keep(kids.select("walk", "fam", "id", F.lit(True).alias("kid"), "who").unionByName(parents.select("walk", "fam", "id", F.lit(False).alias("kid"), "who")), "members")
+    place = F.row_number().over(Window.partitionBy("walk", "id", "kid").orderBy("fam")) - 1
+    visits = scratch.keep(members.select("walk", "id", F.col("kid").cast("int").alias("kind"), "fam", place.alias("at")), "visits")
+    return people.select("walk", "id"), members, visits
+
+
+def _waits(touch: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """walk, fam and bound: the path of the first visit to another family that shares somebody open; none if no families share. touch: walk, side, id, fam and path, once for each fam."""
+    who = ["walk", "side", "id"]
+    hot = scratch.keep(touch.groupBy(*who).agg(F.min(F.struct("path", "fam")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "hot")
+    if hot.isEmpty():
+        return None
+    rows = touch.join(hot, who)
+    others = rows.where(F.col("fam") != F.col("first.fam"))
+    second = others.groupBy(*who).agg(F.min("path").alias("bound"))
+    firsts = hot.select(*who, F.col("first.fam").alias("fam")).join(second, who)
+    both = others.select("walk", "fam", F.col("first.path").alias("bound")).unionByName(firsts.select("walk", "fam", "bound"))
+    return both.groupBy("walk", "fam").agg(F.min("bound").alias("bound"))
+
+
+def _round(visits: DataFrame, trees: tuple, state: DataFrame, scores: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """FOUND of all visits (walk, fam, path, gs) that wait for no other, and the visits left over."""
+    (_, src, _), (_, dst, _) = trees
+    key = ["walk", "fam"]
+    done = state.where("id is not null").select("walk", "id", "target", F.lit(True).alias("done"))
+    taken = state.where("target is not null").select("walk", F.col("target").alias("id"), F.lit(True).alias("taken")).distinct()
+    first = visits.groupBy(*key).agg(F.min("path").alias("path"))
+    members = src.join(first, key).join(done, ["walk", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    members = scratch.keep(members, "active")
+    pairs = visits.select(*key, "path", F.explode("gs").alias("g")).groupBy(*key, "g").agg(F.min("path").alias("path"))
+    targets = pairs.join(dst.withColumnRenamed("fam", "g"), ["walk", "g"]).join(taken, ["walk", "id"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    targets = scratch.keep(targets, "targets")
+    open_ = members.where("not done")
+    touch = open_.select(*key, F.lit("s").alias("side"), "id", "path").unionByName(targets.where("not taken").select(*key, F.lit("d").alias("side"), "id", "path").join(open_.select(*key).distinct(), key, "left_semi"))
+    waits = _waits(touch.groupBy(*key, "side", "id").agg(F.min("path").alias("path")), scratch)
+    ready, left = visits.join(open_.select(*key).distinct(), key, "left_semi"), None
+    if waits is not None:
+        held = ready.join(waits, key, "left").withColumn("ready", F.coalesce(F.col("path") < F.col("bound"), F.lit(True)))
+        held = scratch.keep(held, "held")
+        ready, left = held.where("ready"), held.where("not ready").drop("ready", "bound")
+    rows = ready.groupBy(*key).agg(F.collect_list(F.struct("path", "gs")).alias("visits"))
+    rows = rows.join(members.groupBy(*key).agg(F.collect_list(F.struct("id", "kid", "target", "done", "who")).alias("members")), key)
+    rows = rows.join(targets.groupBy(*key).agg(F.collect_list(F.struct("g", "id", "kid", "taken", "who")).alias("targets")), key)
+    if scores is not None:
+        met = members.select(*key, "id").distinct().join(scores, ["walk", "id"]).join(targets.select(*key, F.col("id").alias("other")).distinct(), [*key, "other"])
+        rows = rows.join(met.groupBy(*key).agg(F.collect_list(F.struct("id", "other", "points")).alias("scores")), key, "left").withColumn("scores", F.coalesce("scores", F.array()))
+    found = scratch.keep(rows.mapInArrow(_visits(scores is not None), FOUND), "found")
+    return found, left
+
+
 def align(src: DataFrame, dst: DataFrame, scores: DataFrame | None, anchors: DataFrame) -> DataFrame:
     """src_id, dst_id, score, level and found_via of every walk. src, dst: the columns of compare.people(), those that are there; scores and anchors: src_id, dst_id (and score).
 
-    Where src, dst, anchors (and scores) all have a column walk, each of its values is a pair of trees by itself and a group of its own; else all is one walk.
-    Without scores the walk takes the whole score of each pair that it asks for.
+    Where src, dst, anchors (and scores) all have a column walk, each of its values is a pair of trees by itself; else all is one walk. Without scores the walk takes the whole score of
+    each pair that it asks for. Levels are written to the shared folder; a level is some joins and, where families share somebody, further rounds.
     """
     spark = ship(src.sparkSession)
-    given = scores is not None
-    frames = [src, dst, anchors, *([scores] if given else [])]
-    by_walk = all("walk" in x.columns for x in frames)
-    walk_of = lambda df: (F.col("walk").cast("long") if by_walk else F.lit(0).cast("long")).alias("walk")
-    ids = lambda df, *cs: [F.col(c).cast("long").alias(c) for c in cs]
-
-    def side(df: DataFrame, kind: str) -> DataFrame:
-        who = compare.people(df)
-        rows = df.select(walk_of(df), *ids(df, "id", "father_id", "mother_id"))
-        return rows.join(who.select(F.col("id").cast("long").alias("id"), *PERSON), "id").withColumn("kind", F.lit(kind))
-
-    link = lambda df, kind, score: df.select(walk_of(df), F.lit(kind).alias("kind"), F.col("src_id").cast("long").alias("id"), F.col("dst_id").cast("long").alias("other"), score.cast("double").alias("points"))
-    rows = side(src, "src").unionByName(side(dst, "dst")).unionByName(link(anchors, "anchor", F.lit(0)), allowMissingColumns=True)
-    if given:
-        rows = rows.unionByName(link(scores, "score", F.col("score")), allowMissingColumns=True)
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda v: None if pd.isna(v) else int(v)
-        plain = lambda v: v if not pd.api.types.is_scalar(v) else None if pd.isna(v) else v
-        people, named = {}, {}
-        for kind in ("src", "dst"):
-            named[kind] = {}
-            for r in block[block.kind == kind].to_dict("records"):
-                who = {c: plain(r[c]) for c in PERSON}
-                who |= {c: whole(r[c]) for c in compare.YEARS}
-                named[kind][int(r["id"])] = who | {"parents": (whole(r["father_id"]), whole(r["mother_id"]))}
-            people[kind] = [(i, p["gender"], p["birth_year"], *p["parents"]) for i, p in named[kind].items()]
-        known = {(int(r.id), int(r.other)): float(r.points) for r in block[block.kind == "score"].itertuples()}
-        scorer = compare.Scorer()
-        score = (lambda s, d: known.get((s, d), 0.0)) if given else (lambda s, d: scorer(named["src"][s], named["dst"][d]))
-        start = sorted((int(r.id), int(r.other)) for r in block[block.kind == "anchor"].itertuples())
-        found = pd.DataFrame(walk(people["src"], people["dst"], score, start), columns=["src_id", "dst_id", "score", "level", "found_via"])
-        return found.assign(walk=block.walk.iloc[0])
-
-    out = rows.groupBy("walk").applyInPandas(run, "walk long, src_id long, dst_id long, score int, level int, found_via string")
-    return out if by_walk else out.drop("walk")
+    scratch = Scratch(spark, "walk")
+    by_walk = all("walk" in x.columns for x in (src, dst, anchors, *([] if scores is None else [scores])))
+    which = F.coalesce(F.col("walk").cast("long").cast("string"), F.lit("")) if by_walk else F.lit("0")
+    link = lambda df, *more: df.select(which.alias("walk"), F.col("src_id").cast("long").alias("id"), F.col("dst_id").cast("long").alias("other"), *more)
+    trees = _tree(src, which, scratch), _tree(dst, which, scratch)
+    points = None if scores is None else scratch.keep(link(scores, F.col("score").cast("double").alias("points")), "scores")
+    start = link(anchors).join(trees[0][0], ["walk", "id"], "left_semi").join(trees[1][0].withColumnRenamed("id", "other"), ["walk", "other"], "left_semi")
+    start = scratch.keep(start, "start")
+    items = start.groupBy("walk", "id").agg(F.max("other").alias("target")).withColumn("path", F.array("id"))
+    state = [scratch.keep(items.select("walk", F.lit(None).cast("string").alias("fam"), "id", "target"), "state")]
+    out = [start.select("walk", F.col("id").alias("src_id"), F.col("other").alias("dst_id"), F.lit(100).alias("score"), F.lit(0).alias("level"), F.lit("Anchor").alias("found_via"))]
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    options = trees[1][2].groupBy("walk", F.col("id").alias("target"), "kind").agg(F.array_sort(F.collect_list("fam")).alias("gs"))
+    options = scratch.keep(options, "options")
+    level = 0
+    while not items.isEmpty():
+        level += 1
+        path = F.concat("path", F.array(F.col("kind") * F.lit(KIND) + F.col("at") * F.lit(FAMILY)))
+        closed = union(state).where("fam is not null and id is null").select("walk", "fam")
+        visits = items.join(trees[0][2], ["walk", "id"]).join(options, ["walk", "target", "kind"]).select("walk", "fam", path.alias("path"), "gs").join(closed, ["walk", "fam"], "left_anti")
+        visits, news = scratch.keep(visits, "turn"), []
+        while visits is not None and not visits.isEmpty():
+            found, visits = _round(visits, trees, union(state), points, scratch)
+            state.append(found.select("walk", "fam", "id", "target"))
+            news.append(found.where("target is not null"))
+        if not news:
+            break
+        new = union(news)
+        items = new.select("walk", "id", "target", "path")
+        out.append(new.select("walk", F.col("id").alias("src_id"), F.col("target").alias("dst_id"), F.col("points").alias("score"), F.lit(level).alias("level"), F.col("via").alias("found_via")))
+        if len(state) > MANY:
+            state = [scratch.keep(union(state), "state")]
+    found = union(out)
+    return found.withColumn("walk", F.nullif("walk", F.lit("")).cast("long")) if by_walk else found.drop("walk")

@@ -235,10 +235,10 @@ def _residual(held: DataFrame, part: DataFrame, classes: DataFrame, docs: DataFr
 
 
 def _bits(ids: DataFrame) -> bytes:
-    """The filter's bits as bytes: at most FILTER_BITS / 8, whatever the number of ids."""
+    """The filter's bits as bytes: at most FILTER_BITS / 8, whatever the number of ids, so they come in one job and not in one for each partition."""
     parts = ids.mapInArrow(_filter_parts, "part int, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("b"))
     out = bytearray(FILTER_BITS // 8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         out[r["part"] * 4096 : r["part"] * 4096 + 4096] = bytes(r["b"])
     return bytes(out)
 

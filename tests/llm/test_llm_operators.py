@@ -709,3 +709,19 @@ def test_rare_languages_keep_their_training_rows(spark):
     model = language_id.fit(make(spark, texts, langs=["de"] * 600 + ["fr"] * 6), train_rows=60)
     rows = language_id.predict(make(spark, ["le chien noir", "die kleine katze"]), model).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in rows] == ["fr", "de"]
+
+
+def test_filter_bits_come_in_one_job_whatever_the_partitions(spark):
+    ids = spark.range(0, 500, 1, 4).withColumnRenamed("id", "doc_id")
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("filter-bits", "bits of ids")
+    try:
+        bits = minhash._bits(ids)
+        jobs = context.statusTracker().getJobIdsForGroup("filter-bits")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spots = minhash._spot(np.arange(500))
+    assert all(bits[x >> 3] >> (x & 7) & 1 for x in spots) and sum(bin(b).count("1") for b in bits if b) == len(set(spots.tolist()))
+    assert len(jobs) <= 2

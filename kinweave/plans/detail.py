@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import locales, names
 from ..operators import compare, graph, localenames, resolve
+from ..scratch import Scratch
 from . import fixture
 from .registry import EDGES_SQL, NAMES, NAMES_SQL, WORDS_SQL, _trees, _values, _words, jw_sql, latin_sql, norm_sql, script_sql
 
@@ -40,9 +41,12 @@ def _pairs(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def _fields(spark, d) -> DataFrame:
-    src, dst = _trees(spark, d)
-    src, dst = _more(src, SRC_MORE), _more(dst, DST_MORE)
-    return compare.fields(compare.paired(_pairs(src, dst), compare.people(src), compare.people(dst)))
+    """Trees, their relatives and people are written once each: a plan that makes them anew wherever they are read has dozens of copies of the fixture. So are pairs with all but the relatives."""
+    scratch = Scratch(spark, "fields")
+    src, dst = (scratch.keep(x, "tree") for x in _trees(spark, d))
+    people = [scratch.keep(_more(df, more), "more") for df, more in ((src, SRC_MORE), (dst, DST_MORE))]
+    left, right = (scratch.keep(compare.nameless(df), "people") for df in people)
+    return compare.fields_of(_pairs(*people), left, right, scratch)
 
 
 def q_pair_fields(spark, d):

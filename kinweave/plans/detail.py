@@ -60,10 +60,12 @@ def q_full_scores(spark, d):
 
 def q_resolved(spark, d):
     """A mapping whose every third target is a neighbour's, resolved among the targets' relatives within two steps."""
-    src, dst = _trees(spark, d)
+    scratch = Scratch(spark, "resolved")
+    dst = scratch.keep(_trees(spark, d)[1], "tree")
     scores = q_full_scores(spark, d)
     known = dst.select(F.col("id").alias("dst_id"))
     mapping = dst.select(F.col("id").alias("src_id"), F.when(F.col("id") % 3 == 1, F.col("id") + 1).otherwise(F.col("id")).alias("dst_id"), F.lit(60).alias("score"), F.when(F.col("id") == 0, "Anchor").otherwise("Child").alias("found_via")).join(known, "dst_id", "left_semi")
+    mapping = scratch.keep(mapping, "mapping")
     return resolve.resolve(mapping, graph.within_two(dst), scores).select("src_id", "dst_id", "score")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinweave.operators import compare
+from kinweave.plans import detail
 from kinweave.scratch import Scratch
 
 SCHEMA = "id long, first string, middle string, last string, maiden string, gender string, birth_year int, father_id long, mother_id long"
@@ -19,3 +20,10 @@ def test_fields_of_names_compared_once_are_those_of_each_pair(spark):
     rows = lambda df: {(r["src_id"], r["dst_id"]): (round(r["score"], 9), tuple((x["field"], round(x["points"], 9)) for x in r["reasons"])) for r in compare.scored(df).collect()}
     got = rows(compare.fields_of(pairs, left, right, scratch))
     assert len(got) == 16 and got == rows(compare.fields(compare.paired(pairs, compare.people(a), compare.people(b))))
+
+
+def test_resolved_mappings_make_the_fixture_once(spark, tmp_path):
+    """The mapping, its targets and their relatives come from one written tree, not from the customers wherever they are read."""
+    spark.range(70).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    found = detail.queries()["resolved_mappings"](spark, str(tmp_path))
+    assert found.count() > 40 and not [x for x in found.inputFiles() if "customer" in x]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinweave.operators import compare
-from kinweave.plans import detail
+from kinweave.plans import detail, registry
 from kinweave.scratch import Scratch
 
 SCHEMA = "id long, first string, middle string, last string, maiden string, gender string, birth_year int, father_id long, mother_id long"
@@ -27,3 +27,11 @@ def test_resolved_mappings_make_the_fixture_once(spark, tmp_path):
     spark.range(70).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
     found = detail.queries()["resolved_mappings"](spark, str(tmp_path))
     assert found.count() > 40 and not [x for x in found.inputFiles() if "customer" in x]
+
+
+def test_child_assignment_reads_customers_for_two_trees_alone(spark, tmp_path, monkeypatch):
+    spark.range(70).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": kept.append((name, any("customer" in x for x in df.inputFiles()))) or keep(self, df, name))
+    assert registry.queries()["child_assignment"](spark, str(tmp_path)).count() > 40
+    assert [name for name, read in kept if read] == ["tree", "tree"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
@@ -28,18 +32,28 @@ def training_rows(persons: DataFrame) -> DataFrame:
     return rows.where(is_training_name(F.col("name"))).withColumn("locale", locale).distinct()
 
 
-def train(rows: DataFrame, buckets: int = 1 << 13) -> PipelineModel:
-    """rows: name, name_type, gender, locale. Single characters need fewer buckets than longer runs; an iteration's time grows with their number."""
+def featurizers(buckets: int = 1 << 13) -> list:
+    """Stages that learn nothing: grams, counts of a name's runs of characters. Single characters need fewer buckets than longer runs; an iteration's time grows with their number."""
     stages = [SQLTransformer(statement="SELECT *, lower(name) AS low FROM __THIS__"), RegexTokenizer(inputCol="low", outputCol="chars", pattern=".", gaps=False)]
     for n in ORDERS:
         stages += [NGram(n=n, inputCol="chars", outputCol=f"grams{n}"), HashingTF(numFeatures=min(buckets, 1 << (5 + 4 * n)), inputCol=f"grams{n}", outputCol=f"tf{n}")]
-    stages += [
+    return [*stages, VectorAssembler(inputCols=[f"tf{n}" for n in ORDERS], outputCol="grams")]
+
+
+def learners() -> list:
+    """Stages that learn from grams, name_type, gender and locale. A sum has no metadata: the index's place for unknown locales would else be one more class, whose first gradient depends on how rows are dealt."""
+    return [
         StringIndexer(inputCols=["name_type", "gender"], outputCols=["type_index", "gender_index"], handleInvalid="keep"),
-        StringIndexer(inputCol="locale", outputCol="label", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*(f"tf{n}" for n in ORDERS), "type_index", "gender_index"], outputCol="features"),
-        LogisticRegression(maxIter=30, regParam=0.001, tol=1e-4),
+        StringIndexer(inputCol="locale", outputCol="locale_index", handleInvalid="keep"),
+        SQLTransformer(statement="SELECT *, locale_index + 0.0D AS label FROM __THIS__"),
+        VectorAssembler(inputCols=["grams", "type_index", "gender_index"], outputCol="features"),
+        LogisticRegression(maxIter=30, regParam=0.001, tol=1e-4, family="multinomial"),
     ]
-    return Pipeline(stages=stages).fit(rows)
+
+
+def train(rows: DataFrame, buckets: int = 1 << 13) -> PipelineModel:
+    """rows: name, name_type, gender, locale."""
+    return Pipeline(stages=[*featurizers(buckets), *learners()]).fit(rows)
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -74,15 +88,20 @@ def metrics(predicted: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("micro_accuracy"), F.avg(F.col("right") / F.col("n")).alias("macro_accuracy"), (F.sum("loss") / F.sum("n")).alias("log_loss"))
 
 
-def cross_validate(rows: DataFrame, folds: int = 5, scratch: Scratch | None = None, buckets: int = 1 << 13) -> DataFrame:
-    """fold and its metrics(), each fold predicted by a model trained on all others; the mean over folds is the estimate. rows are written once, as every model reads them."""
-    rows = (scratch or Scratch(rows.sparkSession, "locale-folds")).keep(with_folds(rows, folds), "rows")
-    out = None
-    for fold in range(folds):
-        rest, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        found = metrics(predict(train(rest, buckets), held), "fold")
-        out = found if out is None else out.unionByName(found)
-    return out
+def cross_validate(rows: DataFrame, folds: int = 5, scratch: Scratch | None = None, buckets: int = 1 << 13, at_once: int = 3) -> DataFrame:
+    """fold and its metrics(), each fold predicted by a model trained on all others; the mean over folds is the estimate.
+
+    Features are made and written once, as every model reads them, in as many files as keep all cores busy: millions of names are a table so small that Spark would train on it in one task.
+    An iteration waits for the driver longer than for its tasks, so some models are trained at once; each of them holds its rows in the executors' memory.
+    """
+    spark = rows.sparkSession
+    dealt = with_folds(rows, folds).repartition(2 * spark.sparkContext.defaultParallelism, "name", "name_type", "gender")
+    made = PipelineModel(stages=featurizers(buckets)).transform(dealt).select("fold", "name_type", "gender", "locale", "grams")
+    made = (scratch or Scratch(spark, "locale-folds")).keep(made, "rows")
+    fit = inheritable_thread_target(spark)(lambda fold: Pipeline(stages=learners()).fit(made.where(F.col("fold") != fold)))
+    with ThreadPoolExecutor(at_once) as pool:
+        models = list(pool.map(fit, range(folds)))
+    return reduce(DataFrame.unionByName, [metrics(predict(model, made.where(F.col("fold") == fold)), "fold") for fold, model in enumerate(models)])
 
 
 def save(model: PipelineModel, path: str) -> None:

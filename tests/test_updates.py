@@ -2,12 +2,14 @@
 
 import json
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import dates
 from kinweave.operators import delivery, diff, existing, locale_model, marriage
+from kinweave.scratch import Scratch
 
 PERSON = "id string, first string, last string, maiden string, middle string, nickname string, suffix string, birth_date string, death_date string, burial_date string, birth_place string, death_place string, burial_place string, gender string, photos array<string>"
 COLUMNS = [x.split(" ")[0] for x in PERSON.split(", ")]
@@ -177,3 +179,31 @@ def test_locale_model_measures_and_saving(spark, tmp_path):
     assert [r["scores"] for r in again] == [r["scores"] for r in scored]
     folds = locale_model.cross_validate(rows.coalesce(1), 2, buckets=1 << 8).collect()
     assert sorted(r["fold"] for r in folds) == [0, 1] and sum(r["n"] for r in folds) == 48 and sum(r["micro_accuracy"] * r["n"] for r in folds) / 48 > 0.6
+
+
+def test_locale_folds_train_on_all_cores(spark):
+    words = [(a + b, "word", "unknown", lang) for lang, heads, tails in (("lt", "Jo Pet Kaz Ald", "nas ras ys is"), ("de", "Hein Lud Wolf Ger", "rich wig gang hard")) for a in heads.split() for b in tails.split()]
+    rows = spark.createDataFrame([*words, ("Ив", "word", "unknown", "ru")], "name string, name_type string, gender string, locale string")
+    scratch = Scratch(spark, "test-folds")
+    found = {r["fold"]: r for r in locale_model.cross_validate(rows.coalesce(1), 2, scratch, buckets=1 << 8).collect()}
+    (written,) = Path(scratch.root.removeprefix("file://")).iterdir()
+    table = spark.read.parquet(f"file://{written}")
+    assert table.count() == 33 and table.select(F.input_file_name()).distinct().count() > 4 and "grams" in table.columns
+    # A fold without the only Russian word can't learn the locale.
+    folds = locale_model.with_folds(rows, 2)
+    (alone,) = [r["fold"] for r in folds.where("locale = 'ru'").collect()]
+    for fold, m in found.items():
+        model = locale_model.train(folds.where(F.col("fold") != fold).coalesce(1), buckets=1 << 8)
+        (one,) = locale_model.metrics(locale_model.predict(model, folds.where(F.col("fold") == fold))).collect()
+        assert all(abs(m[k] - one[k]) < 1e-6 for k in ("n", "micro_accuracy", "macro_accuracy", "log_loss"))
+        # Only locales that are there are classes, so the first loss is the entropy of their shares.
+        n = [r["count"] for r in folds.where(F.col("fold") != fold).groupBy("locale").count().collect()]
+        assert model.stages[-1].numClasses == len(n) == (2 if fold == alone else 3)
+        got, entropy = model.stages[-1].summary.objectiveHistory[0], -sum(x / sum(n) * math.log(x / sum(n)) for x in n)
+        assert abs(got - entropy) < 0.02
+
+
+def test_locale_model_of_one_locale(spark):
+    rows = spark.createDataFrame([("Jonas", "first", "Male", "lt"), ("Petras", "first", "Male", "lt")], "name string, name_type string, gender string, locale string")
+    (got,) = locale_model.predict(locale_model.train(rows.coalesce(1), buckets=1 << 8), rows.limit(1)).collect()
+    assert got["predicted"] == "lt" and got["scores"] == {"lt": 1.0}

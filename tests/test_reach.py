@@ -46,3 +46,26 @@ def test_people_are_not_sent_whole(spark):
     rows = compare.paired(pairs, people, people)
     for df in (compare.people(scratch.keep(tree(spark, 1, set()))), rows, compare.first_sims(rows, people, people)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def apart(spark):
+    """A pair of children who score 100 though no key of theirs is shared: parents and surnames differ in their first letters."""
+    one = lambda last, father: [(1, father, "Petrov", "Male", 1870, None, None), (2, "Maria", "Petrova", "Female", 1872, None, None), (3, "Anna", last, "Female", 1900, 1, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, first string, last string, gender string, birth_year int, father_id long, mother_id long")
+    src, dst = frame(one("Petrov", "Ivan")), frame(one("Betrov", "Yvan"))
+    met = blocking.candidates(compare.people(src), compare.people(dst)).where("src_id = '3' AND dst_id = '3'")
+    assert met.count() == 0
+    return src, dst
+
+
+def test_best_match_shares_no_block(apart):
+    assert [tuple(r) for r in linkage.best_matches(*apart, 80).collect()] == [(3, 3, 100.0)]
+
+
+def test_counts_have_pairs_that_share_no_block(apart):
+    assert [tuple(r) for r in linkage.found_counts(*apart, 97).collect()] == [(3, 1, 100.0)]
+
+
+def test_top_has_pairs_that_share_no_block(apart):
+    assert [tuple(r) for r in linkage.found_top(*apart, 97, 3, 6).collect()] == [(3, 1, 3, 100.0)]
